@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindrift.llm import splitting
+from spindrift.llm import shared_spans, splitting
 from spindrift.tables import table
 
 
@@ -24,6 +24,35 @@ def p2_report(spark, d):
     return splitting.split_report(_pieces(spark, d))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_report": p2_report}
+def _records(spark, d):
+    return shared_spans.records_of((table(spark, d, "chunks"), "chunk_id", "text"), (table(spark, d, "lexical_docs"), "entity_id", "body"))
 
-SQL = {"p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE octet_length(encode(text)) > 8192"}
+
+def p5_found(spark, d):
+    return shared_spans.shared_spans(_records(spark, d))
+
+
+def p5_report(spark, d):
+    records = _records(spark, d)
+    return shared_spans.shared_report(records, shared_spans.shared_spans(records))
+
+
+QUERIES = {
+    "p5_found": p5_found, "p5_report": p5_report,
+    "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_report": p2_report}
+
+_SHARED = """
+r AS (SELECT chunk_id AS id, text AS t FROM chunks WHERE text IS NOT NULL UNION SELECT entity_id, body FROM lexical_docs WHERE body IS NOT NULL),
+w AS (SELECT id, p, hash(substr(t, p + 1, 120)) AS h, md5(substr(t, p + 1, 120)) AS m FROM (SELECT id, t, unnest(range(length(t) - 119)) AS p FROM r WHERE length(t) >= 120)),
+s AS (SELECT h, m FROM w GROUP BY h, m HAVING min(id) <> max(id)),
+x AS (SELECT w.id, w.p, w.p + 120 AS e FROM w JOIN s ON w.h = s.h AND w.m = s.m),
+y AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY id ORDER BY p) + 120 THEN 0 ELSE 1 END AS n FROM x),
+z AS (SELECT *, sum(n) OVER (PARTITION BY id ORDER BY p) AS g FROM y),
+f AS (SELECT id AS record_id, min(p)::INT AS span_start, max(e)::INT AS span_end FROM z GROUP BY id, g)
+"""
+
+SQL = {
+    "p5_found": f"WITH {_SHARED} SELECT * FROM f",
+    "p5_report": f"""WITH {_SHARED} SELECT r.id AS record_id, max(length(r.t)) AS n_chars, coalesce(max(a.n), 0) AS n_spans, coalesce(max(a.c), 0) AS shared_chars
+      FROM r LEFT JOIN (SELECT record_id, count(*) AS n, sum(span_end - span_start) AS c FROM f GROUP BY 1) a ON a.record_id = r.id GROUP BY 1""",
+    "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE octet_length(encode(text)) > 8192"}
