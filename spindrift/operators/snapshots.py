@@ -89,7 +89,7 @@ def diff_arrays(k1, k2, seq, row, n_seq) -> pd.DataFrame:
         found.append((before[~kept], s, "removed"))
     k1, k2 = np.asarray(k1), np.asarray(k2)
     parts = [pd.DataFrame({"k1": k1[i], "k2": k2[i], "seq": np.int32(s), "change": c}) for i, s, c in found if len(i)]
-    return pd.concat(parts) if parts else pd.DataFrame({"k1": [], "k2": [], "seq": [], "change": []})
+    return pd.concat(parts) if parts else pd.DataFrame({"k1": [0], "k2": [0], "seq": [0], "change": [""]})[:0]
 
 
 def _diff_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
