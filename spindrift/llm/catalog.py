@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_text", "q_vectors")
+MODULES = ("q_text", "q_vectors", "q_documents")
 
 
 def _merged(attribute: str) -> dict:
