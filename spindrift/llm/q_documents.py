@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import packing
+from spindrift.llm import contamination, packing
 from spindrift.tables import table
 
 
@@ -14,6 +14,18 @@ def p7_fill(spark, d):
     return packing.fill_report(p7_pack(spark, d))
 
 
-QUERIES = {"p7_pack": p7_pack, "p7_fill": p7_fill}
+def _leaks(spark, d):
+    return contamination.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark, d):
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_leaks(spark, d):
+    return _leaks(spark, d)
+
+
+QUERIES = {"p8_found": p8_found, "p8_leaks": p8_leaks, "p7_pack": p7_pack, "p7_fill": p7_fill}
 
 SQL: dict[str, str] = {}
