@@ -197,8 +197,9 @@ def shared_spans(records: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     arrow_batches(spark, 1000)
     parts = shuffle_parts(spark)
     texts = records.select("record_id", "text").filter(F.length("text") >= length).withColumn("rid", F.xxhash64("record_id"))
-    # One exchange serves both the count and the way back to the places.
-    anchors = texts.select("rid", "text").mapInPandas(_anchors(length, gram), ANCHORS).repartition(parts, "fp")
+    # One exchange serves both the count and the way back to the places; the
+    # filter is what the join below would otherwise add to one of the two only.
+    anchors = texts.select("rid", "text").mapInPandas(_anchors(length, gram), ANCHORS).filter("fp IS NOT NULL AND rid IS NOT NULL").repartition(parts, "fp")
     repeated = (
         anchors.groupBy("fp")
         .agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count("*").alias("n"), F.max("pos").alias("far"))
