@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import contamination, packing
+from spindrift.llm import contamination, packing, toxicity
 from spindrift.tables import table
 
 
@@ -26,6 +26,24 @@ def p8_leaks(spark, d):
     return _leaks(spark, d)
 
 
-QUERIES = {"p8_found": p8_found, "p8_leaks": p8_leaks, "p7_pack": p7_pack, "p7_fill": p7_fill}
+def _scores(spark, d):
+    return toxicity.scored(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p9_found(spark, d):
+    return _scores(spark, d).filter("flagged AND doc_id IS NOT NULL").select("doc_id").distinct()
+
+
+def p9_scores(spark, d):
+    return _scores(spark, d)
+
+
+def p9_rates(spark, d):
+    return toxicity.rates(_scores(spark, d))
+
+
+QUERIES = {
+    "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
+    "p8_found": p8_found, "p8_leaks": p8_leaks, "p7_pack": p7_pack, "p7_fill": p7_fill}
 
 SQL: dict[str, str] = {}
