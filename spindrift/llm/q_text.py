@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindrift.llm import shared_spans, splitting
+from spindrift.llm import handwritten, shared_spans, splitting
 from spindrift.tables import table
 
 
@@ -37,7 +37,20 @@ def p5_report(spark, d):
     return shared_spans.shared_report(records, shared_spans.shared_spans(records))
 
 
+def _judged(spark, d):
+    return handwritten.judged_files(table(spark, d, "files"), table(spark, d, "chunks"), table(spark, d, "vendor_releases"))
+
+
+def p6_found(spark, d):
+    return handwritten.not_handwritten(_judged(spark, d))
+
+
+def p6_reasons(spark, d):
+    return _judged(spark, d)
+
+
 QUERIES = {
+    "p6_found": p6_found, "p6_reasons": p6_reasons,
     "p5_found": p5_found, "p5_report": p5_report,
     "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_report": p2_report}
 
