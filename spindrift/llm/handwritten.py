@@ -45,8 +45,8 @@ SHORT_SHARE = 0.6
 LOW_DIVERSITY, NAMED_SHARE = 0.06, 0.1
 #: Letters of names a text needs before its names are judged.
 LEAST_NAMES = 12
-#: Characters of a header line; longer comment lines are prose.
-MOST_HEADER = 200
+#: Lines of a header and characters of one; longer comment lines are prose.
+HEADER_LINES, MOST_HEADER = 30, 200
 
 #: What tells a language by its syntax.
 SYNTAX = {
@@ -175,6 +175,21 @@ def train_names(chunks: DataFrame) -> Names:
     return Names(counts)
 
 
+def header(text: str) -> list[str]:
+    """Comment lines before the first line of code, without prose.
+
+    What a comment quotes is a mention: callers take strings out.
+    """
+    out = []
+    for line in text.split("\n", HEADER_LINES)[:HEADER_LINES]:
+        if _COMMENT_LINE.match(line):
+            if len(line) <= MOST_HEADER:
+                out.append(line)
+        elif line.strip():
+            break
+    return out
+
+
 def facts_of(names: Names, text: str) -> tuple:
     """The numbers of :data:`FACTS` for one text, from ``language`` on."""
     language = language_of(text)
@@ -196,8 +211,7 @@ def facts_of(names: Names, text: str) -> tuple:
     lines = code.count("\n") + 1
     # What strings hold counts as characters without a name.
     chars = len(body) - sum(map(body.count, " \t\r\n"))
-    head = [x for x in text.split("\n", 12)[:12] if len(x) <= MOST_HEADER and _COMMENT_LINE.match(x)][:6]
-    own = [x.strip() for x in head if not OWN_HEADER.search(x)]
+    own = [_STRING.sub("", x).strip() for x in header(text) if not OWN_HEADER.search(x)]
     return (language, total, short, bits, letters, masked, chars, named, lines,
             int(any(map(TOOL_HEADER.search, own))), int(any(map(OWNER_HEADER.search, own))), int(any(map(OWNER_HINT.search, own))))
 
