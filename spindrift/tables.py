@@ -47,3 +47,9 @@ def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
 def shared_dir(spark: SparkSession, fallback: str) -> str:
     """Folder for intermediate tables: the cluster's checkpoint folder if set."""
     return spark.conf.get("spark.checkpoint.dir", None) or fallback
+
+
+def one_row(df: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key: the least of the other columns, taken in order."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
