@@ -15,6 +15,7 @@ from spindrift.functions.text import exact_lines, language_with_overrides
 from spindrift.operators import claims as claim_ops
 from spindrift.operators import exact, federation, flat_vectors, fusion, graph, lexical, packet, resolve, validation
 from spindrift.sources import checkout, ingest, notes
+from spindrift.tables import cut
 from spindrift.sources.store import Config, Generations, Traces, union_all
 
 REQUESTS = (
@@ -61,10 +62,12 @@ def candidate_pools(requests: DataFrame, docs: DataFrame, files: DataFrame, symb
         fusion.pool("exact_identifier", exact.identifier_pool(docs, queries), by_id),
         fusion.pool("exact_metadata", exact.metadata_pool(files, symbols, queries), by_id),
     ]
-    seeds = union_all(first).select("query_id", F.col("entity_id").alias("node")).distinct()
+    # Few rows a request, read by the seeds, the graph and the fusion.
+    found = cut(union_all(first))
+    seeds = found.select("query_id", F.col("entity_id").alias("node")).distinct()
     generation = files.select("generation_id").distinct()
     around = graph.within_hops(seeds.crossJoin(F.broadcast(generation.limit(1))), graph.inner_edges(edges))
-    pools = [*first, fusion.pool("graph", around.select("query_id", "entity_id"), by_id)]
+    pools = [found, fusion.pool("graph", around.select("query_id", "entity_id"), by_id)]
     if vectors is not None:
         pools.append(fusion.pool("vectors", vectors, [F.desc("cosine"), F.asc("entity_id")]))
     return fusion.pools_union(*pools)
@@ -74,10 +77,10 @@ def search(requests: DataFrame, docs: DataFrame, files: DataFrame, symbols: Data
            on_overflow: str = "error") -> DataFrame:
     """One packet for each request; see :data:`spindrift.operators.packet.PACKETS`."""
     docs = lexical.distinct_documents(docs)
-    pools = fusion.bounded(candidate_pools(requests, docs, files, symbols, edges, vectors), on_overflow=on_overflow)
+    pools = fusion.bounded(cut(candidate_pools(requests, docs, files, symbols, edges, vectors)), on_overflow=on_overflow)
     resolved = resolve.resolved_entities(files, symbols, chunks)
     described = resolved.select("entity_id", *resolve.AGREEING)
-    ranked = fusion.fuse(pools, described)
+    ranked = cut(fusion.fuse(pools, described))
     indexed = docs.select("entity_id", *resolve.AGREEING)
     # A candidate is described by the index that found it, else by the graph.
     known = indexed.unionByName(described.join(indexed.select("entity_id"), "entity_id", "left_anti")).dropDuplicates(["entity_id"])

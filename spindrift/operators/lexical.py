@@ -37,10 +37,9 @@ def collection_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.avg(n).alias("avg_terms"))
 
 
-def token_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Frequency of each term in documents and in all."""
-    t = docs.select(F.monotonically_increasing_id().alias("i"), F.explode(tokens(F.col(text))).alias("term"))
-    per_doc = t.groupBy("i", "term").agg(F.count("*").alias("tf"))
+def token_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Frequency of each term in documents (df) and in all (cf); ``key`` is unique."""
+    per_doc = docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     return per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 

@@ -7,6 +7,7 @@ Parquet answers from file footers.
 from __future__ import annotations
 
 import math
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +45,16 @@ def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession, fallback: str) -> str:
-    """Folder for intermediate tables: the cluster's checkpoint folder if set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or fallback
+def cut(df: DataFrame) -> DataFrame:
+    """The frame without its lineage, written to the shared checkpoint folder.
+
+    The folder is the one that the session names; only where none is set, as in
+    tests, a temporary one is made.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spindrift-"))
+    return df.checkpoint()
 
 
 def one_row(df: DataFrame, *keys: str) -> DataFrame:
