@@ -431,7 +431,7 @@ def reviewed_sample(documents: DataFrame, labels: DataFrame, most: int = MAX_LAB
     leave it out, as do null labels and null texts. Repeated rows count once.
     """
     sample = (
-        labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").distinct()
+        labels.select("doc_id", "reviewer", "toxic", "labelled_at").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").distinct()
         .groupBy("doc_id").agg(F.avg("toxic").alias("y")).filter("y <> 0.5")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
