@@ -69,6 +69,19 @@ def skip_reason(content: Column, length: Column) -> Column:
     )
 
 
+def empty_files(spark: SparkSession, root: str) -> list[str]:
+    """Files without content, which a scan of file contents passes over."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    listing = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True)
+    out = []
+    while listing.hasNext():
+        f = listing.next()
+        if f.getLen() == 0:
+            out.append(f.getPath().toUri().getPath())
+    return out
+
+
 def scan(spark: SparkSession, root: str, repository: str, revision: str, include: list[str] = (), exclude: list[str] = (), ignore: list[str] = ()) -> DataFrame:
     """Files below ``root`` in any depth.
 
@@ -79,7 +92,9 @@ def scan(spark: SparkSession, root: str, repository: str, revision: str, include
     root = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace(F.expr("url_decode(replace(path, '+', '%2B'))"), "^(file:)?" + re.escape(root) + "/", "")
-    kept = files.select(path.alias("path"), F.col("length").alias("n_bytes"), "content").filter(accepted(F.col("path"), list(include), list(exclude)) & ~matches_any(F.col("path"), list(ignore)))
+    read = files.select(path.alias("path"), F.col("length").alias("n_bytes"), "content")
+    hollow = spark.createDataFrame([(p[p.index(root) + len(root) + 1 :] if root in p else p, 0, b"") for p in empty_files(spark, root)], read.schema)
+    kept = read.unionByName(hollow).filter(accepted(F.col("path"), list(include), list(exclude)) & ~matches_any(F.col("path"), list(ignore)))
     reason = skip_reason(F.col("content"), F.col("n_bytes"))
     return kept.withColumn("skip_reason", reason).select(
         F.lit(repository).alias("repository_id"), F.lit(revision).alias("revision"), "path", "n_bytes", "skip_reason",

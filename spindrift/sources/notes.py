@@ -208,7 +208,7 @@ def _regions(note: Note, body: int, name: str) -> None:
 
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
     """(note_path, text) of the Markdown files in a folder, in the order of paths."""
-    notes = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder).select(F.input_file_name().alias("note_path"), F.col("value").alias("text"))
+    notes = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(F.input_file_name().alias("note_path"), F.col("value").alias("text"))
     size = F.octet_length("text")
     fits = F.when(size > MOST_BYTES, F.raise_error(F.lit("a note is larger than 4 MiB")).cast("string")).otherwise(F.col("text"))
     return notes.select("note_path", fits.alias("text")).orderBy("note_path").limit(MOST_NOTES)
@@ -239,6 +239,6 @@ PERSONAL = "note_id string, title string, text string"
 
 def personal_notes(spark: SparkSession, folder: str) -> DataFrame:
     """Personal notes (note_id, title, text) in the order of their ids."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "note_*.md").text(folder).select("value")
+    raw = spark.read.option("pathGlobFilter", "note_*.md").text(folder, wholetext=True).select("value")
     key = lambda k: F.regexp_extract("value", rf"(?m)^(?:\w+_)?{k}: *\"?(.*?)\"? *\r?$", 1)
     return raw.select(key("id").alias("note_id"), F.regexp_replace(key("title"), r"\\(.)", "$1").alias("title"), F.col("value").alias("text")).orderBy("note_id")
