@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from spindrift.tables import arrow_batches, broadcast_if_small, shuffle_parts
 
+#: Decimals to which cosines are compared; what is equal then is ordered by id.
+DECIMALS = 6
 #: Rows or queries of a bucket that one task multiplies at a time.
 BLOCK = 8192
 
@@ -53,13 +55,22 @@ def rotated(unit: np.ndarray, seed: int) -> np.ndarray:
 
 
 def axes(x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``m`` nearest signed axes of each row, nearest first, and how near."""
-    m = min(m, x.shape[1])
-    near = np.abs(x)
-    at = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < x.shape[1] else np.broadcast_to(np.arange(m), x.shape).copy()
-    at = np.take_along_axis(at, np.argsort(-np.take_along_axis(near, at, 1), axis=1, kind="stable"), 1)
+    """The ``m`` nearest signed axes of each row, nearest first, and how near.
+
+    The second half of all axes are the opposites of the first, far side last.
+    """
+    n = x.shape[1]
+    size = np.abs(x)
+    k = min(m, n)
+    at = np.argpartition(-size, k - 1, axis=1)[:, :k] if k < n else np.broadcast_to(np.arange(n), x.shape)
+    at = np.take_along_axis(at, np.argsort(-np.take_along_axis(size, at, 1), axis=1, kind="stable"), 1)
     value = np.take_along_axis(x, at, 1)
-    return at * 2 + (value < 0), np.abs(value)
+    out, near = at * 2 + (value < 0), np.abs(value)
+    if m > n:
+        rest = min(m, 2 * n) - n
+        out = np.concatenate([out, (out ^ 1)[:, ::-1][:, :rest]], axis=1)
+        near = np.concatenate([near, -near[:, ::-1][:, :rest]], axis=1)
+    return out, near
 
 
 def buckets(unit: np.ndarray, table: int, functions: int, probes: int) -> np.ndarray:
@@ -72,7 +83,7 @@ def buckets(unit: np.ndarray, table: int, functions: int, probes: int) -> np.nda
     for f in range(functions):
         x = rotated(unit, 1000 * table + f)
         at, near = axes(x, probes)
-        at, lost = at.astype(np.int64), (near[:, :1] ** 2 - near**2)
+        at, lost = at.astype(np.int64), near[:, :1] - near
         if number is None:
             number, loss = at, lost
         else:
@@ -151,7 +162,7 @@ def best_of_block(q: np.ndarray, b: np.ndarray, k: int, least: float) -> tuple[n
         if len(b) > k:
             rows = np.flatnonzero((s >= least).sum(1) > k)
             if len(rows):  # only the rows with more than k are cut down
-                kth = np.partition(s[rows], len(b) - k, axis=1)[:, len(b) - k]
+                kth = np.partition(s[rows], len(b) - k, axis=1)[:, len(b) - k] - 10.0**-DECIMALS
                 s[rows] = np.where(s[rows] >= kth[:, None], s[rows], -2)
         a, c = np.nonzero(s >= least)
         who.append(a + i)
@@ -171,7 +182,7 @@ def _multiply(k: int, least: float):
         i, j, cos = best_of_block(q, b, k + 1, least)
         qi, bi = ask.id.to_numpy()[i], base.id.to_numpy()[j]
         other = qi != bi
-        return pd.DataFrame({"q": qi[other], "b": bi[other], "cos": cos[other].astype(np.float64)})
+        return pd.DataFrame({"q": qi[other], "b": bi[other], "cos": np.round(cos[other].astype(np.float64), DECIMALS)})
 
     return run
 
@@ -206,9 +217,9 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = -1.1, queries: str =
     """The ``k`` most similar entities of every entity that ``queries`` selects.
 
     Result: entity_id, neighbour, cos, rank (from 1). Only entities of the same
-    dimension with a cosine of ``least`` or more count; equal cosines are
-    ordered by neighbour. Unit vectors that agree to six decimals are copies and
-    have cosine 1. ``queries`` is a SQL condition on ordinal and entity_id; the
+    dimension with a cosine of ``least`` or more count; cosines that are equal
+    to six decimals are ordered by neighbour. Unit vectors that agree to six
+    decimals are copies and have cosine 1. ``queries`` is a SQL condition on ordinal and entity_id; the
     whole table is indexed. Rows that are not usable neither ask nor answer; see
     :func:`usable_vectors`. With ``functions`` = 1 a table has two buckets per
     dimension; use 2 from about a million rows on, with more probes.
@@ -227,18 +238,17 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = -1.1, queries: str =
         .join(firsts.withColumnRenamed("rep", "b"), "b")
         .select("q", "cos", F.explode("firsts").alias("neighbour"))
         .withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cos"), "neighbour"))).filter(f"n <= {k}")
-        .groupBy("q").agg(F.array_sort(F.collect_list(F.struct("n", "neighbour", "cos"))).alias("others"))
+        .groupBy("q").agg(F.collect_list(F.struct((-F.col("cos")).alias("far"), "neighbour")).alias("others"))
     )
+    # Sorted by falling cosine and id; both parts hold their own best.
+    entry = "struct<far:double,neighbour:string>"
     own = F.slice(F.array_remove(F.col("firsts"), F.col("entity_id")), 1, k)
-    lists = (
-        asking.join(firsts, "rep").join(others.withColumnRenamed("q", "rep"), "rep", "left")
-        .select("entity_id", F.slice(F.concat(
-            F.transform(own, lambda x: F.struct(x.alias("neighbour"), F.lit(1.0).alias("cos"))),
-            F.transform(F.coalesce("others", F.array().cast("array<struct<n:int,neighbour:string,cos:double>>")),
-                        lambda x: F.struct(x["neighbour"].alias("neighbour"), x["cos"].alias("cos")))), 1, k).alias("list"))
-    )
+    both = F.concat(
+        F.transform(own, lambda x: F.struct(F.lit(-1.0).alias("far"), x.alias("neighbour"))),
+        F.transform(F.coalesce("others", F.array().cast(f"array<{entry}>")), lambda x: F.struct(x["far"].alias("far"), x["neighbour"].alias("neighbour"))))
+    lists = asking.join(firsts, "rep").join(others.withColumnRenamed("q", "rep"), "rep", "left").select("entity_id", F.slice(F.array_sort(both), 1, k).alias("list"))
     return lists.select("entity_id", F.posexplode("list").alias("p", "x")).select(
-        "entity_id", F.col("x.neighbour").alias("neighbour"), F.col("x.cos").alias("cos"), (F.col("p") + 1).alias("rank"))
+        "entity_id", F.col("x.neighbour").alias("neighbour"), (-F.col("x.far")).alias("cos"), (F.col("p") + 1).alias("rank"))
 
 
 def similar_pairs(lists: DataFrame) -> DataFrame:

@@ -79,12 +79,14 @@ class Planner:
         self.offsets = np.concatenate([self.offsets, offsets])
         self.classes = np.concatenate([self.classes, classes])
         while self.start < self.n and (until >= self.n or self.start + self.most <= until):
-            end = self._end()
+            end, natural = self._end()
             yield self._piece(end)
             if end >= self.n:
                 self.start = self.n
                 return
-            self.shared = min(self.overlap, end - self.start - 1)
+            # A cut that may still move back to the start of a character must
+            # not shorten what the next piece repeats.
+            self.shared = min(self.overlap + (0 if natural or not self.overlap else 3), end - self.start - 1)
             self.start = end - self.shared
             self._drop()
 
@@ -94,10 +96,10 @@ class Planner:
         self.lines_dropped += int((self.classes[:k] >= LINE).sum())
         self.offsets, self.classes = self.offsets[k:], self.classes[k:]
 
-    def _end(self) -> int:
+    def _end(self) -> tuple[int, bool]:
         last = self.start + self.most
         if self.n <= last:
-            return self.n
+            return self.n, True
         floor = self.start + self.shared + self.overlap + 1
         half = max(floor, self.start + self.most // 2)
         for low, high in ((half, last), (floor, half)):
@@ -105,9 +107,9 @@ class Planner:
             for least in (BLANK, LINE, STATEMENT, SENTENCE):
                 hit = np.flatnonzero(self.classes[i:j] >= least)
                 if len(hit):
-                    return int(self.offsets[i + hit[-1]])
+                    return int(self.offsets[i + hit[-1]]), True
         i, j = np.searchsorted(self.offsets, [floor, last], "right")
-        return int(self.offsets[j - 1]) if j > i else last
+        return (int(self.offsets[j - 1]), True) if j > i else (last, False)
 
     def _piece(self, end: int) -> tuple:
         i = np.searchsorted(self.offsets, self.start, "right")
@@ -172,7 +174,8 @@ def split_oversized(df: DataFrame, id_col: str = "chunk_id", text_col: str = "te
       half of what it may hold and then in the first; without any of these after
       a word, and in a text without white space between two characters.
     * Each piece but the first begins with the last ``overlap`` bytes of its
-      predecessor, up to three more where that would divide a character.
+      predecessor, up to three more where that would divide a character, and up
+      to six if the predecessor had to end between two characters.
     * Lines count from start_line; null or less than 1 counts as 1. A stated
       end_line is not used. A piece that ends with a line end does not reach
       into the next line.

@@ -30,8 +30,8 @@ THRESHOLD = 0.5
 ROUNDS, STEPS, RATE = 5, 120, 0.2
 RIDGE, COUNTERFACTUAL = 0.05, 0.3
 SWAPS = 4
-#: Share of harmless documents from which on a word is an everyday one.
-EVERYDAY = 0.006
+#: Share and least number of harmless documents beyond which a word is an everyday one.
+EVERYDAY, LEAST_EVERYDAY = 0.006, 3
 
 #: Names of groups of people that may be swapped for each other.
 GROUPS = (
@@ -276,7 +276,7 @@ class Classifier:
             if not positive:
                 for w in {w for i in b for w in known[i]}:
                     common[w] = common.get(w, 0) + 1
-        most = max(1, EVERYDAY * float(len(y) - y.sum()))
+        most = max(LEAST_EVERYDAY, EVERYDAY * float(len(y) - y.sum()))
         return [any(common.get(w, 0) <= most for w in s) for s in known]
 
     @staticmethod
