@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.tables import arrow_batches, broadcast_if_small, shuffle_parts
+from spindrift.tables import arrow_batches, broadcast_if_small, cut, shuffle_parts
 
 #: Decimals to which cosines are compared; what is equal then is ordered by id.
 DECIMALS = 6
@@ -197,18 +197,23 @@ def similar_classes(points: DataFrame, k: int, least: float, tables: int, functi
     spark = points.sparkSession
     arrow_batches(spark, 2000)
     slots = points.repartition(shuffle_parts(spark)).mapInPandas(_slots(tables, functions, probes), SLOTS)
-    full = (
+    # Few buckets are full; they are found once and kept.
+    full = cut(
         slots.groupBy("dim", "bucket")
         .agg(F.sum(F.when(F.col("role") != 1, 1).otherwise(0)).alias("n_b"), F.sum(F.when(F.col("role") != 0, 1).otherwise(0)).alias("n_q"))
         .filter(f"n_b > {block} OR n_q > {block}")
         .select("dim", "bucket", F.ceil(F.col("n_b") / block).cast("int").alias("s_b"), F.ceil(F.col("n_q") / block).cast("int").alias("s_q"))
     )
-    marked = slots.join(broadcast_if_small(full), ["dim", "bucket"], "left").fillna(1, ["s_b", "s_q"])
-    calm = marked.filter("s_b = 1 AND s_q = 1").select("dim", "bucket", "role", "id", "unit", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    crowd = marked.filter("s_b > 1 OR s_q > 1").withColumn("h", F.xxhash64("id"))
-    mine = crowd.filter("role <> 1").select("dim", "bucket", F.lit(0).alias("role"), "id", "unit", F.expr("int(pmod(h, s_b))").alias("i"), F.explode(F.expr("sequence(0, s_q - 1)")).alias("j"))
-    asks = crowd.filter("role <> 0").select("dim", "bucket", F.lit(1).alias("role"), "id", "unit", F.explode(F.expr("sequence(0, s_b - 1)")).alias("i"), F.expr("int(pmod(h, s_q))").alias("j"))
-    hits = calm.unionByName(mine).unionByName(asks).groupBy("dim", "bucket", "i", "j").applyInPandas(_multiply(k, least), HITS)
+    # A row of a divided bucket goes to one block of rows against all blocks of
+    # queries, and as a query to one block of queries against all of rows.
+    cells = """CASE WHEN s_b IS NULL THEN array(named_struct('role', role, 'i', 0, 'j', 0)) ELSE concat(
+        CASE WHEN role = 1 THEN array() ELSE transform(sequence(0, s_q - 1), j -> named_struct('role', 0, 'i', int(pmod(h, s_b)), 'j', j)) END,
+        CASE WHEN role = 0 THEN array() ELSE transform(sequence(0, s_b - 1), i -> named_struct('role', 1, 'i', i, 'j', int(pmod(h, s_q)))) END) END"""
+    placed = (
+        slots.join(broadcast_if_small(full), ["dim", "bucket"], "left").withColumn("h", F.xxhash64("id"))
+        .select("dim", "bucket", "id", "unit", F.explode(F.expr(cells)).alias("c")).select("dim", "bucket", "c.role", "id", "unit", "c.i", "c.j")
+    )
+    hits = placed.groupBy("dim", "bucket", "i", "j").applyInPandas(_multiply(k, least), HITS)
     best = Window.partitionBy("q").orderBy(F.desc("cos"), "b")
     return hits.groupBy("q", "b").agg(F.max("cos").alias("cos")).withColumn("rank", F.row_number().over(best)).filter(f"rank <= {k}").select("q", "b", "cos")
 
@@ -224,7 +229,7 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = -1.1, queries: str =
     :func:`usable_vectors`. With ``functions`` = 1 a table has two buckets per
     dimension; use 2 from about a million rows on, with more probes.
     """
-    units = usable_vectors(vectors)
+    units = cut(usable_vectors(vectors))  # read by classes, members and queries
     classes, members = classes_of(units)
     asking = members.filter(queries)
     points = classes.select("dim", F.col("rep").alias("id"), "unit").join(
