@@ -104,7 +104,7 @@ class Engine:
         scanned = checkout.scan(self.spark, root, config.repository_id, revision, list(config.include), list(config.exclude))
         rows = checkout.snapshot_rows(scanned, generation_id).withColumn("language", language_with_overrides(F.col("path"), [(checkout.glob_pattern(g), n) for g, n in config.language_overrides]))
         with_text = rows.join(scanned.select("path", "content"), "path")
-        tables = ingest.graph_tables(rows, ingest.extracted(with_text))
+        tables = ingest.graph_tables(rows, cut(ingest.extracted(with_text)))  # parsed once for all tables
         tables["diagnostics"] = tables["diagnostics"].unionByName(ingest.snapshot_diagnostics(scanned, generation_id)).distinct()
         tables["files"] = rows
         tables["lexical_docs"] = ingest.lexical_documents(with_text, tables["chunks"], tables["symbols"])
