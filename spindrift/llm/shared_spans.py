@@ -3,15 +3,17 @@
 A span of at least ``length`` characters is shared if it also stands, character
 for character, in a record with another id. The operator finds all of them:
 
+0. Equal texts are one class. A class of several ids is shared as a whole, and
+   takes part below as one text, however many copies it has.
 1. Rabin-Karp hashes of every window of ``gram`` characters are winnowed so that
    each stretch of ``length`` characters keeps at least one anchor. Spark counts
-   in how many records an anchor occurs.
+   in how many texts an anchor occurs.
 2. Only where an anchor repeats, the windows of ``length`` characters around it
-   are hashed and compared between the records that have the anchor.
+   are hashed and compared between the texts that have the anchor.
 3. Repeated windows merge into maximal stretches.
 
 Step 1 drops nothing: a shared window of ``length`` characters contains the same
-anchors in both records.
+anchors in both texts.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ GRAM = 48
 HOT = 20_000
 SLICE = 1 << 20
 
-ANCHORS = "fp long, rid long, pos int"
-NEAR = "g long, rid long, record_id string, version long, start int, context string"
-SPANS = "record_id string, version long, span_start int, span_end int"
+ANCHORS = "fp long, h1 long, h2 long, pos int"
+NEAR = "g long, rid long, h1 long, h2 long, start int, context string"
+SPANS = "h1 long, h2 long, span_start int, span_end int"
 
 
 def _anchors(length: int, gram: int):
@@ -43,26 +45,26 @@ def _anchors(length: int, gram: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         roller = Roller(gram, SLICE)
 
-        def flush(part: list[tuple[int, int, str]]) -> pd.DataFrame:
+        def flush(h1: np.ndarray, h2: np.ndarray, part: list[tuple[int, int, str]]) -> pd.DataFrame:
             codes = codes_of("".join(p[2] for p in part))
             lengths = np.array([len(p[2]) for p in part])
             at, h = winnow(roller, codes, lengths, width)
             which = np.searchsorted(np.cumsum(lengths), at, "right")
             first = np.cumsum(lengths) - lengths
-            rid = np.array([p[0] for p in part], np.int64)[which]
+            row = np.array([p[0] for p in part], np.int64)[which]
             pos = at - first[which] + np.array([p[1] for p in part])[which]
-            return pd.DataFrame({"fp": h.view(np.int64), "rid": rid, "pos": pos.astype(np.int32)})
+            return pd.DataFrame({"fp": h.view(np.int64), "h1": h1[row], "h2": h2[row], "pos": pos.astype(np.int32)})
 
         for f in frames:
-            rids, part, size = f.rid.to_numpy(), [], 0
+            keys, part, size = (f.h1.to_numpy(), f.h2.to_numpy()), [], 0
             for i, offset, text in slices(f.text.tolist(), SLICE, length - 1):
-                part.append((rids[i], offset, text))
+                part.append((i, offset, text))
                 size += len(text)
                 if size >= SLICE:
-                    yield flush(part)
+                    yield flush(*keys, part)
                     part, size = [], 0
             if part:
-                yield flush(part)
+                yield flush(*keys, part)
 
     return run
 
@@ -72,20 +74,16 @@ def _surroundings(length: int, gram: int):
     reach = length - gram
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, whole = Roller(gram, SLICE), Roller(length, SLICE)
+        whole = Roller(length)
         for f in frames:
             out: dict[str, list] = {c.split()[0]: [] for c in NEAR.split(", ")}
 
             def add(g, r, start, context):
-                for c, v in zip(out, (g, r.rid, r.record_id, r.version, start, context)):
+                for c, v in zip(out, (g, r.rid, r.h1, r.h2, start, context)):
                     out[c].append(v)
 
             for r in f.itertuples():
                 for fp, pos, hot in zip(r.fps, r.places, r.hots):
-                    if pos + gram > len(r.text):
-                        continue
-                    if int(grams.windows(codes_of(r.text[pos : pos + gram]))[0]) != int(fp) % (1 << 64):
-                        continue  # the anchor is of another text with this id
                     start = max(0, pos - reach)
                     context = r.text[start : pos + length]
                     if len(context) < length:
@@ -128,15 +126,14 @@ def _resolve(length: int):
         def near(f: pd.DataFrame) -> pd.DataFrame:
             f = f[f.context != ""]
             if not len(f):
-                return pd.DataFrame(columns=columns)
+                return pd.DataFrame({c: [0] for c in columns})[:0]
             a, b = shared_windows(f.context.tolist(), f.rid.to_numpy(), length, roller)
             start = f.start.to_numpy()
             keep = a >= 0
-            return pd.DataFrame({"record_id": f.record_id[keep], "version": f.version[keep],
-                                 "span_start": (start + a)[keep], "span_end": (start + b + length)[keep]})
+            return pd.DataFrame({"h1": f.h1[keep], "h2": f.h2[keep], "span_start": (start + a)[keep], "span_end": (start + b + length)[keep]})
 
         def of_windows(f: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"record_id": f.record_id, "version": f.version, "span_start": f.start, "span_end": f.start + length})
+            return pd.DataFrame({"h1": f.h1, "h2": f.h2, "span_start": f.start, "span_end": f.start + length})
 
         # Windows of hot anchors stream by: as soon as a second record shows up
         # in a group, all its rows are known to be shared.
@@ -196,39 +193,44 @@ def shared_spans(records: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     spark = records.sparkSession
     arrow_batches(spark, 1000)
     parts = shuffle_parts(spark)
-    texts = records.select("record_id", "text").filter(F.length("text") >= length).withColumn("rid", F.xxhash64("record_id"))
+    texts = records.select("record_id", "text").filter(F.length("text") >= length).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text")})
+    # Copies leave each task as one row. A class of several ids gets a number of
+    # its own in place of an id, so it differs from every other.
+    classes = (
+        texts.groupBy("h1", "h2").agg(F.min("record_id").alias("lo"), F.max("record_id").alias("hi"), F.first("text").alias("text"))
+        .select("h1", "h2", "text", F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo")).otherwise(F.xxhash64("h2", "h1")).alias("rid"), (F.col("lo") != F.col("hi")).alias("copied"))
+    )
     # One exchange serves both the count and the way back to the places; the
     # filter is what the join below would otherwise add to one of the two only.
-    anchors = texts.select("rid", "text").mapInPandas(_anchors(length, gram), ANCHORS).filter("fp IS NOT NULL AND rid IS NOT NULL").repartition(parts, "fp")
+    anchors = classes.mapInPandas(_anchors(length, gram), ANCHORS).filter("fp IS NOT NULL AND h1 IS NOT NULL AND h2 IS NOT NULL").repartition(parts, "fp")
     repeated = (
         anchors.groupBy("fp")
-        .agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count("*").alias("n"), F.max("pos").alias("far"))
-        .filter("lo <> hi AND far >= 0")
+        .agg(F.min("h1").alias("a1"), F.max("h1").alias("b1"), F.min("h2").alias("a2"), F.max("h2").alias("b2"), F.count("*").alias("n"), F.max("pos").alias("far"))
+        .filter("(a1 <> b1 OR a2 <> b2) AND far >= 0")
         .select("fp", (F.col("n") > hot).alias("hot"))
     )
     places = (
         anchors.join(repeated, "fp")
-        .groupBy("rid").agg(F.collect_set(F.struct("fp", "pos", "hot")).alias("a"))
-        .select("rid", F.col("a.fp").alias("fps"), F.col("a.pos").alias("places"), F.col("a.hot").alias("hots"))
-    )
-    near = (
-        texts.join(places, "rid")
-        .select("rid", "record_id", F.xxhash64("text").alias("version"), "text", "fps", "places", "hots")
-        .mapInPandas(_surroundings(length, gram), NEAR)
+        .groupBy("h1", "h2").agg(F.collect_list(F.struct("fp", "pos", "hot")).alias("a"))
+        .select("h1", "h2", F.col("a.fp").alias("fps"), F.col("a.pos").alias("places"), F.col("a.hot").alias("hots"))
     )
+    near = classes.join(places, ["h1", "h2"]).select("rid", "h1", "h2", "text", "fps", "places", "hots", "copied").mapInPandas(_surroundings(length, gram), NEAR)
     pieces = near.repartition(parts, "g").sortWithinPartitions("g").mapInPandas(_resolve(length), SPANS)
-    return merge_spans(pieces)
+    whole = classes.filter("copied").select("h1", "h2", F.lit(0).alias("span_start"), F.length("text").alias("span_end"))
+    owners = texts.select("record_id", "h1", "h2").distinct()
+    return merge_spans(pieces.unionByName(whole)).join(owners, ["h1", "h2"]).select("record_id", "span_start", "span_end").distinct()
 
 
 def merge_spans(pieces: DataFrame) -> DataFrame:
-    w = Window.partitionBy("record_id", "version").orderBy("span_start", "span_end")
+    """Maximal stretches of each text from pieces that may overlap or touch."""
+    w = Window.partitionBy("h1", "h2").orderBy("span_start", "span_end")
     return (
         pieces.distinct()
         .withColumn("reach", F.max("span_end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("n", F.sum(F.when(F.col("span_start") <= F.col("reach"), 0).otherwise(1)).over(w))
-        .groupBy("record_id", "version", "n")
+        .groupBy("h1", "h2", "n")
         .agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"))
-        .select("record_id", "span_start", "span_end").distinct()
+        .drop("n")
     )
 
 
