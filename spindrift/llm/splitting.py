@@ -185,7 +185,7 @@ def split_oversized(df: DataFrame, id_col: str = "chunk_id", text_col: str = "te
     """
     if not 0 <= overlap <= limit // 4 or limit < 64 or range_bytes < limit:
         raise ValueError("needs limit >= 64, 0 <= overlap <= limit / 4 and range_bytes >= limit")
-    arrow_batches(df.sparkSession, 200)
+    arrow_batches(df.sparkSession, 64)
     parts = shuffle_parts(df.sparkSession)
     begin = F.col("range_no") * F.lit(range_bytes)
     ranges = (
@@ -201,21 +201,19 @@ def split_oversized(df: DataFrame, id_col: str = "chunk_id", text_col: str = "te
         # The right halo lets a piece that starts in this range end outside it.
         .withColumn("body", F.expr(f"substring(whole, int(origin + 1), int(until + {limit + 8} - origin))"))
         .drop("whole")
-        .repartition(parts, "item", "version", "range_no")
+        # Repeated rows meet before the shuffle. What follows reads all columns
+        # in both places, so both share the exchange.
         .dropDuplicates(["item", "version", "range_no"])
     )
     plan = (
-        ranges.mapInPandas(_detect, CUTS)
+        ranges.filter("item IS NOT NULL AND version IS NOT NULL AND range_no IS NOT NULL").mapInPandas(_detect, CUTS)
         .repartition(parts, "item", "version").sortWithinPartitions("item", "version", "range_no")
         .mapInPandas(_planning(limit, overlap, range_bytes), PLAN)
         .groupBy("item", "version", "range_no")
         .agg(F.collect_list(F.struct("piece_no", "start_byte", "end_byte", "overlap_bytes", "start_line", "end_line")).alias("plan"))
     )
     return (
-        ranges.select("item", "version", "range_no", "origin", "body")
-        .join(plan, ["item", "version", "range_no"])
-        .select("item", "version", "origin", "body", "plan")
-        .mapInPandas(_emit, PIECES)
+        ranges.join(plan, ["item", "version", "range_no"]).mapInPandas(_emit, PIECES)
     )
 
 
