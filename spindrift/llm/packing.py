@@ -189,7 +189,7 @@ def pack_block(block: int, ids: list[int], lengths: list[int], capacity: int) ->
 
 def _pack(capacity: int):
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.drop_duplicates(["doc_id", "text_hash"]).sort_values(["doc_id", "text_hash"])
+        f = f.sort_values(["doc_id", "text_hash"])
         rows = pack_block(int(f.block.iloc[0]), f.doc_id.tolist(), f.n_tokens.tolist(), capacity)
         return pd.DataFrame(rows, columns=[c.split()[0] for c in PLACED.split(", ")])
 
@@ -221,6 +221,7 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, path: str = T
     blocks = parts_for(documents.count(), block_items)
     return (
         token_lengths(documents, path)
+        .groupBy("doc_id", "text_hash").agg(F.min("n_tokens").alias("n_tokens"))  # so that a block is bounded
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
         .groupBy("block").applyInPandas(_pack(capacity), PLACED)
     )
