@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import query_terms, tokens
-from spindrift.tables import broadcast_if_small, one_row
+from spindrift.tables import is_small, one_row
 
 #: Parameters of BM25, and results of one source.
 K1, B = 1.2, 0.75
@@ -51,7 +51,9 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int = SOURCE_LIMIT) -> Data
     before any shuffle: only matching terms are counted.
     """
     terms = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term"))
-    wanted = broadcast_if_small(terms.select("term").distinct())
+    # Neither the wanted terms nor their frequencies outnumber the query terms.
+    near = F.broadcast if is_small(terms) else lambda df: df
+    wanted = near(terms.select("term").distinct())
     d = docs.select("entity_id", "path", "kind", tokens(F.coalesce("body", F.lit(""))).alias("t"))
     hits = (
         d.select("entity_id", "path", "kind", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
@@ -63,7 +65,7 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int = SOURCE_LIMIT) -> Data
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("avg_terms")))
     scored = (
-        hits.join(broadcast_if_small(df), "term").join(broadcast_if_small(terms), "term").crossJoin(one)
+        hits.join(near(df), "term").join(near(terms), "term").crossJoin(one)
         .groupBy("query_id", "entity_id", "path", "kind").agg(F.round(F.sum(part), DECIMALS).alias("score"))
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("path"), "kind", "entity_id")

@@ -31,7 +31,12 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     The count stops early: ``limit + 1`` rows are enough to decide. Beyond the
     bound the frame is returned as it is and Spark shuffles the join.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if is_small(df, limit) else df
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether the frame has at most ``limit`` rows; also a bound for what derives from it."""
+    return df.limit(limit + 1).count() <= limit
 
 
 def shuffle_parts(spark: SparkSession) -> int:
