@@ -45,6 +45,8 @@ SHORT_SHARE = 0.6
 LOW_DIVERSITY, NAMED_SHARE = 0.06, 0.1
 #: Letters of names a text needs before its names are judged.
 LEAST_NAMES = 12
+#: Different names that a worker holds before it counts their trigrams.
+MOST_NAMES = 200_000
 #: Lines of a header and characters of one; longer comment lines are prose.
 HEADER_LINES, MOST_HEADER = 30, 200
 
@@ -120,16 +122,25 @@ def grams(name: str) -> np.ndarray:
 
 
 def _counting(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Trigram counts of a partition by language; each name is divided once."""
     total: dict[str, np.ndarray] = {}
+    names: dict[str, Counter] = {}
+
+    def settle() -> None:
+        for language, counter in names.items():
+            if counter:
+                g = [grams(n) for n in counter]
+                weight = np.repeat(np.fromiter(counter.values(), np.float64, len(counter)), [len(x) for x in g])
+                counts = np.bincount(np.concatenate(g), weight, _SIZE**3).astype(np.int64)
+                total[language] = total.get(language, 0) + counts
+        names.clear()
+
     for f in frames:
-        names: dict[str, Counter] = {}
         for t in f.text:
             names.setdefault(language_of(t), Counter()).update(_IDENTIFIER.findall(code_of(t)))
-        for language, counter in names.items():
-            table = total.setdefault(language, np.zeros(_SIZE**3, np.int64))
-            g = [grams(n) for n in counter]
-            if g:
-                np.add.at(table, np.concatenate(g), np.repeat(np.fromiter(counter.values(), np.int64, len(counter)), [len(x) for x in g]))
+        if sum(map(len, names.values())) > MOST_NAMES:
+            settle()
+    settle()
     for language, table in total.items():
         at = np.flatnonzero(table)
         yield pd.DataFrame({"language": language, "gram": at.astype(np.int32), "n": table[at]})
