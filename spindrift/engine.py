@@ -15,7 +15,7 @@ from spindrift.functions.text import exact_lines, language_with_overrides
 from spindrift.operators import claims as claim_ops
 from spindrift.operators import exact, federation, flat_vectors, fusion, graph, lexical, packet, resolve, validation
 from spindrift.sources import checkout, ingest, notes
-from spindrift.tables import cut
+from spindrift.tables import broadcast_if_small, cut
 from spindrift.sources.store import Config, Generations, Traces, union_all
 
 REQUESTS = (
@@ -47,46 +47,71 @@ def requests_frame(spark: SparkSession, requests: list[Request]) -> DataFrame:
     return spark.createDataFrame([r.row() for r in requests], REQUESTS)
 
 
+#: Every generation is searched apart, with its own statistics, ranks and bounds.
+SCOPE = ("generation_id",)
+
+
 def candidate_pools(requests: DataFrame, docs: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
-    """All pools of all requests: query_id, pool, entity_id, rank.
+    """All pools of all requests: query_id, generation_id, pool, entity_id, rank.
 
-    ``docs`` and the graph are of one generation. ``vectors`` are hits of an
-    embedded query: query_id, entity_id, cosine.
+    ``docs`` and the graph carry generation_id. ``vectors`` are hits of an
+    embedded query: query_id, generation_id, entity_id, cosine.
     """
     queries = requests.select("query_id", "query")
     by_id = [F.asc("entity_id")]
     first = [
-        fusion.pool("lexical", lexical.bm25(docs, queries), [F.desc("score"), F.asc("rank")]),
-        fusion.pool("exact_path", exact.path_pool(docs, queries), by_id),
-        fusion.pool("exact_symbol", exact.symbol_pool(docs, queries), by_id),
-        fusion.pool("exact_identifier", exact.identifier_pool(docs, queries), by_id),
-        fusion.pool("exact_metadata", exact.metadata_pool(files, symbols, queries), by_id),
+        fusion.pool("lexical", lexical.bm25(docs, queries, scope=SCOPE), [F.desc("score"), F.asc("rank")], SCOPE),
+        fusion.pool("exact_path", exact.path_pool(docs, queries, SCOPE), by_id, SCOPE),
+        fusion.pool("exact_symbol", exact.symbol_pool(docs, queries, SCOPE), by_id, SCOPE),
+        fusion.pool("exact_identifier", exact.identifier_pool(docs, queries, SCOPE), by_id, SCOPE),
+        fusion.pool("exact_metadata", exact.metadata_pool(files, symbols, queries, SCOPE), by_id, SCOPE),
     ]
     # Few rows a request, read by the seeds, the graph and the fusion.
     found = cut(union_all(first))
-    seeds = found.select("query_id", F.col("entity_id").alias("node")).distinct()
-    generation = files.select("generation_id").distinct()
-    around = graph.within_hops(seeds.crossJoin(F.broadcast(generation.limit(1))), graph.inner_edges(edges))
-    pools = [found, fusion.pool("graph", around.select("query_id", "entity_id"), by_id)]
+    seeds = found.select("query_id", *SCOPE, F.col("entity_id").alias("node")).distinct()
+    around = graph.within_hops(seeds, graph.inner_edges(edges))
+    pools = [fusion.pool("graph", around, by_id, SCOPE)]
     if vectors is not None:
-        pools.append(fusion.pool("vectors", vectors, [F.desc("cosine"), F.asc("entity_id")]))
-    return fusion.pools_union(*pools)
+        pools.append(fusion.pool("vectors", vectors, [F.desc("cosine"), F.asc("entity_id")], SCOPE))
+    return found.unionByName(cut(union_all(pools)))
+
+
+def search_each(requests: DataFrame, generations: DataFrame, docs: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, resolved: DataFrame,
+                vectors: DataFrame | None = None, on_overflow: str = "error") -> DataFrame:
+    """One packet for each request and generation, as :func:`search` gives it for that generation alone.
+
+    ``generations``: the generation_ids to search; all other frames carry
+    generation_id and hold rows of these only; ``docs`` are distinct by
+    generation and entity; ``resolved`` are the graph's
+    :func:`spindrift.operators.resolve.resolved_entities`. Result:
+    :data:`spindrift.operators.packet.PACKETS` and generation_id.
+    """
+    key = [*SCOPE, "entity_id"]
+    pools = fusion.bounded(candidate_pools(requests, docs, files, symbols, edges, vectors), on_overflow=on_overflow, scope=SCOPE)
+    described = resolved.select(*key, *resolve.AGREEING)
+    ranked = fusion.fuse(pools, described, SCOPE)
+    indexed = docs.select(*key, *resolve.AGREEING)
+    # A candidate is described by the index that found it, else by the graph.
+    known = indexed.unionByName(described.join(indexed.select(*key), key, "left_anti")).dropDuplicates(key)
+    judged = resolve.with_reasons(ranked.join(known, key, "left"), resolved, requests, SCOPE)
+    asked = generations.select(*SCOPE).distinct().crossJoin(broadcast_if_small(requests))
+    return packet.packets(judged, asked, SCOPE)
 
 
 def search(requests: DataFrame, docs: DataFrame, files: DataFrame, symbols: DataFrame, chunks: DataFrame, edges: DataFrame, vectors: DataFrame | None = None,
            on_overflow: str = "error") -> DataFrame:
-    """One packet for each request; see :data:`spindrift.operators.packet.PACKETS`."""
-    docs = lexical.distinct_documents(docs)
-    pools = fusion.bounded(cut(candidate_pools(requests, docs, files, symbols, edges, vectors)), on_overflow=on_overflow)
-    resolved = resolve.resolved_entities(files, symbols, chunks)
-    described = resolved.select("entity_id", *resolve.AGREEING)
-    ranked = cut(fusion.fuse(pools, described))
-    indexed = docs.select("entity_id", *resolve.AGREEING)
-    # A candidate is described by the index that found it, else by the graph.
-    known = indexed.unionByName(described.join(indexed.select("entity_id"), "entity_id", "left_anti")).dropDuplicates(["entity_id"])
-    candidates = ranked.join(known, "entity_id", "left")
-    judged = resolve.with_reasons(candidates, resolved, requests)
-    return packet.packets(judged, requests)
+    """One packet for each request; see :data:`spindrift.operators.packet.PACKETS`.
+
+    All frames are of one generation, whatever it is called.
+    """
+
+    def one(df: DataFrame) -> DataFrame:
+        return df.withColumn("generation_id", F.lit("current"))
+
+    docs, files, symbols, chunks = cut(lexical.distinct_documents(one(docs), SCOPE)), one(files), one(symbols), one(chunks)
+    generations = requests.sparkSession.createDataFrame([("current",)], "generation_id string")
+    resolved = cut(resolve.resolved_entities(files, symbols, chunks))
+    return search_each(requests, generations, docs, files, symbols, one(edges), resolved, None if vectors is None else one(vectors), on_overflow).drop("generation_id")
 
 
 class Engine:

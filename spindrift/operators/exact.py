@@ -1,4 +1,7 @@
-"""Exact lookups: paths, symbols, identifiers, names in the graph, edges."""
+"""Exact lookups: paths, symbols, identifiers, names in the graph, edges.
+
+Pools keep the columns of ``scope``, so that a hit stays in its collection.
+"""
 
 from __future__ import annotations
 
@@ -23,31 +26,31 @@ def by_identifier(docs: DataFrame, identifier: str) -> DataFrame:
     return docs.filter((F.size(t) == 1) & F.array_contains(tokens(F.col("body")), F.get(t, F.lit(0))))
 
 
-def _matched(queries: DataFrame, terms: Column, docs: DataFrame, key: Column) -> DataFrame:
+def _matched(queries: DataFrame, terms: Column, docs: DataFrame, key: Column, scope: tuple[str, ...] = ()) -> DataFrame:
     t = broadcast_if_small(queries.select("query_id", F.explode(terms).alias("term")).distinct())
-    return docs.withColumn("term", key).join(t, "term").select("query_id", "entity_id").distinct()
+    return docs.withColumn("term", key).join(t, "term").select("query_id", *scope, "entity_id").distinct()
 
 
-def path_pool(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    return _matched(queries, path_terms(F.col("query")), docs, F.col("path"))
+def path_pool(docs: DataFrame, queries: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    return _matched(queries, path_terms(F.col("query")), docs, F.col("path"), scope)
 
 
-def symbol_pool(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    return _matched(queries, exact_terms(F.col("query")), docs, F.col("symbol"))
+def symbol_pool(docs: DataFrame, queries: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    return _matched(queries, exact_terms(F.col("query")), docs, F.col("symbol"), scope)
 
 
-def identifier_pool(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def identifier_pool(docs: DataFrame, queries: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Documents that contain an identifier-like term which is a single word."""
     t = queries.select("query_id", F.explode(identifier_terms(F.col("query"))).alias("raw")).select("query_id", tokens(F.col("raw")).alias("t"))
     t = broadcast_if_small(t.filter(F.size("t") == 1).select("query_id", F.get("t", F.lit(0)).alias("term")).distinct())
-    words = docs.select("entity_id", F.explode(F.array_distinct(tokens(F.coalesce("body", F.lit(""))))).alias("term"))
-    return words.join(t, "term").select("query_id", "entity_id").distinct()
+    words = docs.select(*scope, "entity_id", F.explode(F.array_distinct(tokens(F.coalesce("body", F.lit(""))))).alias("term"))
+    return words.join(t, "term").select("query_id", *scope, "entity_id").distinct()
 
 
-def graph_names(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Files by path and symbols by name, as (name, entity_id, ordering)."""
-    return files.select(F.col("path").alias("name"), F.col("file_id").alias("entity_id"), F.lit(0).alias("ordering")).unionByName(
-        symbols.select("name", F.col("symbol_id").alias("entity_id"), F.lit(1).alias("ordering")))
+def graph_names(files: DataFrame, symbols: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Files by path and symbols by name, as (scope, name, entity_id, ordering)."""
+    return files.select(*scope, F.col("path").alias("name"), F.col("file_id").alias("entity_id"), F.lit(0).alias("ordering")).unionByName(
+        symbols.select(*scope, "name", F.col("symbol_id").alias("entity_id"), F.lit(1).alias("ordering")))
 
 
 def by_name(files: DataFrame, symbols: DataFrame, name: str, limit: int = 257) -> DataFrame:
@@ -55,8 +58,8 @@ def by_name(files: DataFrame, symbols: DataFrame, name: str, limit: int = 257) -
     return graph_names(files, symbols).filter(F.col("name") == name).distinct().orderBy("ordering", "entity_id").limit(limit).select("entity_id", "ordering")
 
 
-def metadata_pool(files: DataFrame, symbols: DataFrame, queries: DataFrame) -> DataFrame:
-    return _matched(queries, exact_terms(F.col("query")), graph_names(files, symbols), F.col("name"))
+def metadata_pool(files: DataFrame, symbols: DataFrame, queries: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    return _matched(queries, exact_terms(F.col("query")), graph_names(files, symbols, scope), F.col("name"), scope)
 
 
 def by_edge_kind(edges: DataFrame, kind: str, limit: int = 10_000) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A document has entity_id, repository, revision, path, language, symbol, body,
 start_line, end_line, kind. Queries are data: each operator takes a frame with
-query_id and query and answers all of them in one plan.
+query_id and query and answers all of them in one plan. Where an operator takes
+a ``scope``, each value of those columns is a collection of its own.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ SOURCE_LIMIT = 257
 DECIMALS = 6
 
 
-def distinct_documents(docs: DataFrame) -> DataFrame:
+def distinct_documents(docs: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """One document per entity_id; of different rows with an id the least counts."""
-    return one_row(docs.filter("entity_id IS NOT NULL"), "entity_id")
+    return one_row(docs.filter("entity_id IS NOT NULL"), *scope, "entity_id")
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -31,10 +32,10 @@ def postings(docs: DataFrame) -> DataFrame:
     return t.select("entity_id", F.size("t").alias("n_terms"), F.explode("t").alias("term")).groupBy("entity_id", "term", "n_terms").agg(F.count("*").alias("tf"))
 
 
-def collection_stats(docs: DataFrame) -> DataFrame:
-    """One row: number of documents and their average length."""
+def collection_stats(docs: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each collection: number of documents and their average length."""
     n = F.size(tokens(F.coalesce("body", F.lit(""))))
-    return docs.agg(F.count("*").alias("n_docs"), F.avg(n).alias("avg_terms"))
+    return docs.groupBy(*scope).agg(F.count("*").alias("n_docs"), F.avg(n).alias("avg_terms"))
 
 
 def token_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -43,10 +44,10 @@ def token_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, limit: int = SOURCE_LIMIT) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, limit: int = SOURCE_LIMIT, scope: tuple[str, ...] = ()) -> DataFrame:
     """Best documents of each query by BM25 over any of its terms.
 
-    Result: query_id, entity_id, score, rank (from 1). Equal scores are ordered
+    Result: query_id, scope, entity_id, score, rank (from 1). Equal scores are ordered
     by path, kind and id, null paths first. Query terms reach the postings
     before any shuffle: only matching terms are counted.
     """
@@ -54,19 +55,22 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int = SOURCE_LIMIT) -> Data
     # Neither the wanted terms nor their frequencies outnumber the query terms.
     near = F.broadcast if is_small(terms) else lambda df: df
     wanted = near(terms.select("term").distinct())
-    d = docs.select("entity_id", "path", "kind", tokens(F.coalesce("body", F.lit(""))).alias("t"))
+    d = docs.select(*scope, "entity_id", "path", "kind", tokens(F.coalesce("body", F.lit(""))).alias("t"))
     hits = (
-        d.select("entity_id", "path", "kind", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
+        d.select(*scope, "entity_id", "path", "kind", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
         .join(wanted, "term")
-        .groupBy("entity_id", "path", "kind", "n_terms", "term").agg(F.count("*").alias("tf"))
+        .groupBy(*scope, "entity_id", "path", "kind", "n_terms", "term").agg(F.count("*").alias("tf"))
     )
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    one = F.broadcast(collection_stats(docs))  # a single row
+    stats = collection_stats(docs, scope)
+    if scope:  # of many collections there may be too many rows to broadcast
+        counted = hits.withColumn("df", F.count("*").over(Window.partitionBy(*scope, "term"))).join(stats, list(scope))
+    else:  # a single row
+        counted = hits.join(near(hits.groupBy("term").agg(F.count("*").alias("df"))), "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("avg_terms")))
     scored = (
-        hits.join(near(df), "term").join(near(terms), "term").crossJoin(one)
-        .groupBy("query_id", "entity_id", "path", "kind").agg(F.round(F.sum(part), DECIMALS).alias("score"))
+        counted.join(near(terms), "term")
+        .groupBy("query_id", *scope, "entity_id", "path", "kind").agg(F.round(F.sum(part), DECIMALS).alias("score"))
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("path"), "kind", "entity_id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit).select("query_id", "entity_id", "score", "rank")
+    best = Window.partitionBy("query_id", *scope).orderBy(F.desc("score"), F.asc_nulls_first("path"), "kind", "entity_id")
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit).select("query_id", *scope, "entity_id", "score", "rank")

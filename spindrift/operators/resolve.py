@@ -63,7 +63,7 @@ def resolved_entities(files: DataFrame, symbols: DataFrame, chunks: DataFrame) -
     return rows.join(f, ["generation_id", "file_id"]).select("generation_id", "entity_id", "repository", "revision", "path", "language", "kind", "symbol", "start_line", "end_line", "content")
 
 
-def with_reasons(candidates: DataFrame, resolved: DataFrame, requests: DataFrame) -> DataFrame:
+def with_reasons(candidates: DataFrame, resolved: DataFrame, requests: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Candidates with their authoritative row and why they are left out, if so.
 
     ``candidates`` carry query_id, entity_id and the eight columns of
@@ -71,9 +71,10 @@ def with_reasons(candidates: DataFrame, resolved: DataFrame, requests: DataFrame
     f_repository, f_revision, f_path_prefix, f_language, f_kinds. Reasons, the
     first that holds: stale, metadata_disagreement, metadata_filter,
     unresolvable, empty. Filters apply to the authoritative row, after ranking.
+    Candidates meet rows that agree in the columns of ``scope``.
     """
-    right = resolved.select("entity_id", *(F.col(c).alias(f"r_{c}") for c in AGREEING), "content", F.lit(True).alias("known"))
-    joined = candidates.join(right, "entity_id", "left").join(requests.select("query_id", "f_repository", "f_revision", "f_path_prefix", "f_language", "f_kinds"), "query_id")
+    right = resolved.select(*scope, "entity_id", *(F.col(c).alias(f"r_{c}") for c in AGREEING), "content", F.lit(True).alias("known"))
+    joined = candidates.join(right, [*scope, "entity_id"], "left").join(requests.select("query_id", "f_repository", "f_revision", "f_path_prefix", "f_language", "f_kinds"), "query_id")
     agree = F.lit(True)
     for c in AGREEING:
         agree = agree & F.col(c).eqNullSafe(F.col(f"r_{c}"))

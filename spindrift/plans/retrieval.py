@@ -9,7 +9,7 @@ from spindrift.functions import text as text_fn
 from spindrift.functions.ids import framed_id
 from spindrift.operators import contradiction, exact, federation, flat_vectors, fusion, graph, lexical, metrics, packet, resolve
 from spindrift.operators.snapshots import sealed_order
-from spindrift.tables import table
+from spindrift.tables import broadcast_if_small, cut, table
 
 #: A batch of searches, as (query_id, query).
 QUERIES_ASKED = (
@@ -168,14 +168,20 @@ def framed_ids(spark, d):
 
 
 def search_packets(spark, d):
-    """Packets of the batch in the latest generation, documents made from its rows."""
-    last = sealed_order(table(spark, d, "generations")).filter("seq = n_seq")
-    latest = last.orderBy(F.desc("generation_id")).limit(1).select("generation_id")
-    t = {n: table(spark, d, n).join(F.broadcast(latest), "generation_id", "left_semi") for n in ("files", "symbols", "chunks", "edges")}
-    r = resolve.resolved_entities(t["files"], t["symbols"], t["chunks"]).filter("kind <> 'file'")
-    docs = r.select("entity_id", "repository", "revision", "path", "language", "symbol", F.col("content").alias("body"), "start_line", "end_line", "kind")
+    """Packets of the batch in the last sealed generation of every repository, documents made from its rows.
+
+    One row for each query and repository; ``merged_ranks`` are the places of its
+    items among those of all repositories.
+    """
+    last = sealed_order(table(spark, d, "generations")).filter("seq = n_seq").select("generation_id", F.col("repository_id").alias("repository"))
+    last = cut(last)
+    near = broadcast_if_small(last.select("generation_id"))
+    t = {n: table(spark, d, n).join(near, "generation_id", "left_semi") for n in ("files", "symbols", "chunks", "edges")}
+    r = cut(resolve.resolved_entities(t["files"], t["symbols"], t["chunks"]))
+    docs = r.filter("kind <> 'file'").select("generation_id", "entity_id", "repository", "revision", "path", "language", "symbol", F.col("content").alias("body"), "start_line", "end_line", "kind")
     requests = engine.requests_frame(spark, [engine.Request(q, i) for i, q in QUERIES_ASKED])
-    return engine.search(requests, docs, t["files"], t["symbols"], t["chunks"], t["edges"], on_overflow="truncate")
+    found = engine.search_each(requests, last, docs, t["files"], t["symbols"], t["edges"], r, on_overflow="truncate")
+    return federation.with_places(cut(found.join(last, "generation_id")))
 
 
 _ASKED = "asked(query_id, query) AS (VALUES " + ", ".join("('{}', '{}')".format(i, q.replace("'", "''")) for i, q in QUERIES_ASKED) + ")"

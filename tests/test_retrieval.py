@@ -152,6 +152,44 @@ def test_search_end_to_end(spark):
     assert none["items"] == [] and none["diagnostics"][0]["code"] == "no_resolvable_evidence"
 
 
+def test_search_of_every_repository(spark, tmp_path):
+    """The last sealed generation of each repository, by time and not by id, as if it were searched alone."""
+    from datetime import datetime
+    from functools import reduce
+
+    from spindrift.plans import retrieval
+
+    generations = [("z1", "a", "sealed", 1), ("b2", "a", "sealed", 2), ("c3", "b", "sealed", 3), ("d1", "b", "sealed", 1), ("zz", "b", "building", None), ("a9", "c", "sealed", 9)]
+    rows = [(g, repo, status, at and datetime(2025, 1, at)) for g, repo, status, at in generations]
+    spark.createDataFrame(rows * 2, "generation_id string, repository_id string, status string, sealed_at timestamp").write.parquet(f"{tmp_path}/generations.parquet")
+    parts = {}
+    for g, repo, _, _ in generations:
+        more = {"note.md": "The queue keeps its prefix.\n\nNothing else is said.\n"} if repo == "a" else {}
+        t = graph_of(spark, {"src/s.py": f"def encode_session(raw):\n    return {g!r}\n"} | more)
+        own = [reduce(lambda d, c: d.withColumn(c, F.concat(F.lit(f"{g}_"), c)), [c for c in ("entity_id", "file_id", "symbol_id", "chunk_id", "source_id", "target") if c in x.columns], x) for x in t]
+        own = [x.withColumn("generation_id", F.lit(g)) for x in own]
+        own[1] = own[1].withColumn("repository_id", F.lit(repo))
+        parts[g] = own
+    for i, name in enumerate(("lexical_docs", "files", "symbols", "chunks", "edges")):
+        reduce(lambda a, b: a.unionByName(b), [p[i] for p in parts.values()]).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = retrieval.search_packets(spark, str(tmp_path)).collect()
+    last = {"a": "b2", "b": "c3", "c": "a9"}
+    assert {(r.query_id, r.repository, r.generation_id) for r in got} == {(q, *x) for q, _ in retrieval.QUERIES_ASKED for x in last.items()}
+    for repo, g in last.items():
+        _, files, symbols, chunks, edges = parts[g]
+        r = resolve.resolved_entities(files, symbols, chunks).filter("kind <> 'file'").withColumnRenamed("content", "body")
+        alone = run(spark, (r, files, symbols, chunks, edges), *[engine.Request(q, i) for i, q in retrieval.QUERIES_ASKED], on_overflow="truncate")
+        for x in got:
+            if x.repository == repo:
+                w = alone[x.query_id]
+                assert (x.packet, x.n_bytes, x.selected, sorted(x.omitted)) == (w.packet, w.n_bytes, w.selected, sorted(w.omitted))
+    found = sorted((x for x in got if x.query_id == "q2"), key=lambda x: x.repository)
+    assert all(json.loads(x.packet)["items"] and x.generation_id in x.packet for x in found)
+    ranks = [m for x in found for m in x.merged_ranks]
+    assert sorted(ranks) == list(range(1, len(ranks) + 1)) and [len(x.merged_ranks) for x in found] == [len(json.loads(x.packet)["items"]) for x in found]
+    assert all(x.merged_ranks == [] for x in got if x.query_id == "q10")
+
+
 def test_budget_and_contradiction(spark):
     long = {f"f{i}.md": "alpha " + ("word " * 400 + "\n\n") for i in range(5)}
     tables = graph_of(spark, long | {"on.md": "the beta cache is enabled today\n", "off.md": "the beta cache is disabled today\n"})
