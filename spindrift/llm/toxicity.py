@@ -391,7 +391,7 @@ class Tables(dict):
     def scores(self, texts: list[str]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        plain = [folded(without_markup(t)) for t in texts]
+        plain = [folded(_CAMEL.sub(" ", without_markup(t))) for t in texts]  # as in sentences()
         for i in np.flatnonzero(set_apart(plain)):
             plain[i] = joined(plain[i])
         ids: list[int] = []

@@ -58,6 +58,11 @@ def test_tables_agree_with_the_classifier(model, sample):
     assert list(X.Tables(model).scores(["", "!?"])) == [0.0, 0.0] and len(X.Tables(model).scores([])) == 0
 
 
+def test_tables_leave_identifiers_out_as_the_classifier_does(model, sample):
+    texts = ["You are a worthless idiot, leave parseRequestHeader alone.", "Touch readTheQueue again andThenSome and I will break your fingers.", "Please merge the window_Ledger and openFolderNow.", *(t.replace("the ", "the someLongName ") for t, _ in sample[:50])]
+    assert np.allclose(X.Tables(model).scores(texts), [model.score(t) for t in texts])
+
+
 def test_spelled():
     assert [X.spelled(t) for t in ("m0r0n", "b@stard", "id**t", "xx*yy", "clllown", "_word_", "read_line", "42", "*so*", "you're")] == ["moron", "bastard", "idiot", "xxyy*", "clown", "word", "", "", "so", "you're"]
     texts = ["an i d i o t here", "a b c", "words, and words", "", "m-o-r-o-n"]
