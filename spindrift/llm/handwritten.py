@@ -65,6 +65,11 @@ SYNTAX = {
 _IDENTIFIER = re.compile(r"\b[A-Za-z_][A-Za-z0-9_]*")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _COMMENT_LINE = re.compile(r"^[ \t]*(?://|#(?!include)|/\*|\*|--|;|<!--).*$", re.M)
+#: Code that begins with ``;`` as scripts made to be joined do, or with ``*`` as an assignment through a pointer does.
+_CODE_FIRST = re.compile(
+    r";+(?:[!(]*(?:async\b|function\b|[\w$, ]*\)\s*=>)|\(\w+\)\(|\[.*\]\.\w|(?:var|let|const|window|self|this)\b[ .\[]|(?:if|for|while|try|return)\s*[({].*[;}])"
+    r"|\*+(?:\([^()]*\)|[A-Za-z_][\w.\[\]>-]*)\s*[-+*/|&^]?=(?!=)")
+_CLOSING = {"/*": "*/", "<!": "-->"}
 
 #: Headers of tools.
 TOOL_HEADER = re.compile(
@@ -106,9 +111,41 @@ def language_of(text: str) -> str:
     return best
 
 
+def comment_of(line: str) -> tuple[str, str]:
+    """A line that begins like a comment as its comment and the code behind it.
+
+    A block comment ends at its mark. A leading ``;`` or ``*`` opens a comment
+    unless code follows it, as in scripts made to be joined.
+    """
+    t = line.lstrip(" \t")
+    if mark := _CLOSING.get(t[:2]):
+        at = t.find(mark, 2)
+        return (line, "") if at < 0 else (t[: at + len(mark)], t[at + len(mark) :])
+    if t[0] == "*" and (at := t.find("*/")) >= 0:
+        return t[: at + 2], t[at + 2 :]
+    if t[0] in ";*" and _CODE_FIRST.match(t):
+        return "", line
+    return line, ""
+
+
+def without_comments(text: str) -> str:
+    """The text without comments that begin a line; code behind them stays."""
+    return _COMMENT_LINE.sub(lambda m: code_behind(m.group()), text)
+
+
+def code_behind(line: str) -> str:
+    """The code of a line that begins like a comment."""
+    while _COMMENT_LINE.match(line):
+        comment, rest = comment_of(line)
+        if not comment:
+            return line
+        line = rest
+    return line
+
+
 def code_of(text: str) -> str:
     """The text without comment lines and without what strings hold."""
-    code = _COMMENT_LINE.sub("", text)
+    code = without_comments(text)
     return _STRING.sub('""', code) if '"' in code or "'" in code else code
 
 
@@ -193,10 +230,14 @@ def header(text: str) -> list[str]:
     """
     out = []
     for line in text.split("\n", HEADER_LINES)[:HEADER_LINES]:
-        if _COMMENT_LINE.match(line):
-            if len(line) <= MOST_HEADER:
-                out.append(line)
-        elif line.strip():
+        code = line
+        while _COMMENT_LINE.match(code):
+            comment, code = comment_of(code)
+            if not comment:
+                break
+            if len(comment) <= MOST_HEADER:
+                out.append(comment)
+        if code.strip():
             break
     return out
 
@@ -204,7 +245,7 @@ def header(text: str) -> list[str]:
 def facts_of(names: Names, text: str) -> tuple:
     """The numbers of :data:`FACTS` for one text, from ``language`` on."""
     language = language_of(text)
-    body = _COMMENT_LINE.sub("", text)
+    body = without_comments(text)
     code = _STRING.sub('""', body) if '"' in body or "'" in body else body
     found = Counter(_IDENTIFIER.findall(code))
     total = short = letters = named = 0

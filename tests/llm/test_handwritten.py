@@ -56,3 +56,24 @@ def test_empty(judged):
 
 def test_quotes_and_late_comments_are_no_header():
     assert H.header("# a\n\n# b\nx = 1\n# c") == ["# a", "# b"] and H.header("# " + "x" * 300) == []
+
+
+def test_code_behind_a_comment_is_judged(judged, rows, spark):
+    files, chunks, releases = judged
+    more = {
+        "joined": (";(function(){" + MINIFIED + "})();", "minified"), "licence": ("/*! lib 1.2 | (c) Copyright the Lib authors, all rights */" + MINIFIED, "vendored"),
+        "plain": ("/*! lib */" + MINIFIED, "minified"), "data": ("/* t */ [" + "7711,9940,8194,2201," * 40 + "]", "data"), "starred": ("/* a text\n * more */" + MINIFIED, "minified"),
+    }
+    f = files.unionByName(spark.createDataFrame([("g", k, f"src/{k}.js", None, None, "c", 1) for k in more], files.schema))
+    c = chunks.unionByName(spark.createDataFrame([(f"c_{k}", k, t, "c") for k, (t, _) in more.items()], chunks.schema))
+    got = dict(rows(H.judged_files(f, c, releases)))
+    assert {k: got[k] for k in more} == {k: r for k, (_, r) in more.items()}
+
+
+def test_comments_and_the_code_behind_them():
+    assert H.code_of("; a lisp remark\n* a line of a block\n/* open\n# remark (x)\n/* a */ /* b */ f(1)\n;(g)(2)") == "\n\n\n\n f(1)\n;(g)(2)"
+    for remark in (" * if the queue (or the cache) is full", " * return the value", "* - item", "; if (a) then b", ";; (defun f)", ";-----", ";(defun f (x) x)", ";[section]", "*emphasis* in prose"):
+        assert H.code_of(remark) == ""
+    for code in (";!function(e,t){}(this)", ";((a,b)=>a+b)(1,2)", ";var a=1", ";[1,2].map(f)", "*count = 3", "*(p + 1) |= f"):
+        assert H.code_of(code) == code
+    assert H.header("/*! lib | licence */" + "f(1);" * 90) == ["/*! lib | licence */"] and H.header(";(f)(1)\n// late") == []
