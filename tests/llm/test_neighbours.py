@@ -78,3 +78,31 @@ def test_pairs_and_empty(spark, data):
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 48)).astype(np.float32)
     assert np.allclose(np.linalg.norm(N.rotated(x, 1), axis=1), np.linalg.norm(x, axis=1), rtol=1e-5)
+
+
+def test_dense_cluster_is_answered_from_exact_vectors(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=32)
+    vectors = {f"d{i:03}": (base + rng.normal(size=32) * 0.01).astype(np.float32) for i in range(N.MOST_OPEN * 2)}
+    df = spark.createDataFrame([(i, e, 32, [float(x) for x in v]) for i, (e, v) in enumerate(vectors.items())], "ordinal long, entity_id string, dimension int, embedding array<float>")
+    for block in (8192, 50):
+        got = {(r.entity_id, r.neighbour) for r in N.nearest(df, k=3, least=0.9, block=block).collect()}
+        assert got == brute(vectors, 3, 0.9)
+
+
+@pytest.mark.parametrize("bits", [4, 8])
+def test_codes_bound_the_cosine(bits):
+    x = np.random.default_rng(2).normal(size=(200, 47)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v, error = N.decoded(N.encoded(x, bits), 47, bits)
+    assert np.allclose(np.linalg.norm(x - v, axis=1), error, atol=1e-6)
+    want = x @ x.T
+    for at, to, low, high in N.possible(v, error, v, error, 10, -2.0):
+        assert (low <= want[at, to]).all() and (want[at, to] <= high).all()
+        kept = set(zip(at, to))
+        assert all((i, j) in kept for i in range(200) for j in np.argsort(-want[i])[:10])
+
+
+def test_more_rows_take_more_functions():
+    assert [N.functions_for(n, 64) for n in (0, 45_000, 10**7, 10**10)] == [1, 1, 2, 3]
+    assert N.tables_for(64, 2, 4, 0.9, 0.998) > N.tables_for(64, 1, 2, 0.9, 0.998)
