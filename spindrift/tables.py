@@ -1,12 +1,14 @@
 """Reading tables, sizing shuffles and choosing join strategies.
 
 Nothing here holds data on the driver; the only actions are row counts, which
-Parquet answers from file footers.
+Parquet answers from file footers, and checkpoints.
 """
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,12 +55,19 @@ def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """The frame without its lineage, written to the shared checkpoint folder.
 
-    The folder is the one that the session names; only where none is set, as in
-    tests, a temporary one is made.
+    The folder is the one that ``spark.checkpoint.dir`` names. Where it is unset,
+    a session whose workers share one machine gets a folder that is removed at
+    its end; on a cluster that is an error, since no folder is known to be shared.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spindrift-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spindrift-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
