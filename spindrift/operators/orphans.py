@@ -1,9 +1,11 @@
 """References to records that do not exist.
 
 Parent keys and child keys are brought into one long form, tagged, and grouped
-by key. The partial aggregation runs before the shuffle, so a target that holds
-a tenth of all references leaves each task as one row. Groups in which a child
-names a generation that has no parent are orphans.
+by a 128-bit hash of repository and key. The partial aggregation runs before the
+shuffle, so a target that holds a tenth of all references leaves each task as
+one row. Groups in which a child names a generation that has no parent are
+orphans. Edges are reduced to those of orphan keys where they are read; if these
+keys are too many to broadcast, the join is salted, so that a hot target spreads.
 """
 
 from __future__ import annotations
@@ -11,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.tables import broadcast_if_small
+from spindrift.tables import BROADCAST_ROWS, broadcast_if_small, cut, is_small
 
 #: Prefixes of ids inside the graph.
 ID_PREFIXES = ("file_", "symbol_", "chunk_")
+#: Parts over which the edges of one orphan key spread in a join that is not broadcast.
+SALTS = 16
 
 
 def generation_numbers(generations: DataFrame) -> DataFrame:
@@ -36,10 +40,11 @@ def generation_numbers(generations: DataFrame) -> DataFrame:
 
 
 def _located(df: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(generation_id, key) to (repo, key, gno, sealed); unknown generations stand alone."""
+    """(generation_id, key, ...) to (k1, k2, gno, sealed, ...); unknown generations stand alone."""
+    repo = F.coalesce("repository_id", F.concat(F.lit("?"), F.col("generation_id")))
     return df.join(numbers, "generation_id", "left").select(
-        F.coalesce("repository_id", F.concat(F.lit("?"), F.col("generation_id"))).alias("repo"),
-        "key", F.coalesce("gno", F.lit(0)).alias("gno"), F.coalesce("sealed", F.lit(False)).alias("sealed"))
+        F.xxhash64(repo, "key").alias("k1"), F.xxhash64("key", F.lit(7), repo).alias("k2"),
+        F.coalesce("gno", F.lit(0)).alias("gno"), F.coalesce("sealed", F.lit(False)).alias("sealed"), *[c for c in df.columns if c not in ("generation_id", "key")])
 
 
 def inside_edges(edges: DataFrame) -> DataFrame:
@@ -53,7 +58,7 @@ def inside_edges(edges: DataFrame) -> DataFrame:
 
 
 def edge_orphan_keys(edges: DataFrame, parents: list[tuple[DataFrame, str]], generations: DataFrame) -> DataFrame:
-    """(repo, key, gno, reason) of targets that their generation lacks."""
+    """(k1, k2, gno, reason) of targets that their generation lacks."""
     numbers = broadcast_if_small(generation_numbers(generations))
     parent = None
     for df, col in parents:
@@ -63,7 +68,7 @@ def edge_orphan_keys(edges: DataFrame, parents: list[tuple[DataFrame, str]], gen
     child = _located(inside_edges(edges).select("generation_id", F.col("target").alias("key")), numbers).withColumn("child", F.lit(True))
     groups = (
         parent.unionByName(child)
-        .groupBy("repo", "key")
+        .groupBy("k1", "k2")
         .agg(F.collect_set(F.when(~F.col("child"), F.col("gno"))).alias("has"),
              F.collect_set(F.when(F.col("child"), F.col("gno"))).alias("asked"),
              F.min(F.when(~F.col("child") & F.col("sealed"), F.col("gno"))).alias("first_sealed"),
@@ -71,8 +76,8 @@ def edge_orphan_keys(edges: DataFrame, parents: list[tuple[DataFrame, str]], gen
         .withColumn("lacking", F.array_except("asked", "has"))
         .filter(F.size("lacking") > 0)
     )
-    return groups.select("repo", "key", F.explode("lacking").alias("gno"), "first_sealed", "last_sealed").select(
-        "repo", "key", "gno",
+    return groups.select("k1", "k2", F.explode("lacking").alias("gno"), "first_sealed", "last_sealed").select(
+        "k1", "k2", "gno",
         F.when(F.col("first_sealed") < F.col("gno"), "deleted")
         .when(F.col("last_sealed") > F.col("gno"), "late").otherwise("missing").alias("reason"))
 
@@ -87,13 +92,15 @@ def orphan_edges(edges: DataFrame, files: DataFrame, symbols: DataFrame, chunks:
     target is a target. Repeated rows give repeated results.
     """
     keys = edge_orphan_keys(edges, [(files, "file_id"), (symbols, "symbol_id"), (chunks, "chunk_id")], generations)
+    keys = cut(keys)
     numbers = broadcast_if_small(generation_numbers(generations))
-    rows = inside_edges(edges).select("edge_id", "generation_id", "target", "observed_at").join(numbers, "generation_id", "left").select(
-        "edge_id", "target", "observed_at",
-        F.coalesce("repository_id", F.concat(F.lit("?"), F.col("generation_id"))).alias("repo"),
-        F.coalesce("gno", F.lit(0)).alias("gno"))
-    return rows.join(keys.withColumnRenamed("key", "target"), ["repo", "target", "gno"]).select(
-        "edge_id", "target", "reason", "observed_at")
+    rows = _located(inside_edges(edges).select("edge_id", "generation_id", F.col("target").alias("key"), "target", "observed_at"), numbers).drop("sealed")
+    if is_small(keys, BROADCAST_ROWS):
+        found = rows.join(F.broadcast(keys), ["k1", "k2", "gno"])
+    else:
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("edge_id"), F.lit(SALTS)))
+        found = salted.join(keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["k1", "k2", "gno", "salt"])
+    return found.select("edge_id", "target", "reason", "observed_at")
 
 
 def orphan_externals(extractions: DataFrame, symbols: DataFrame, packages: DataFrame) -> DataFrame:
