@@ -13,6 +13,8 @@ documents; every document is scored on the workers.
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -37,7 +39,7 @@ EVERYDAY, LEAST_EVERYDAY = 0.006, 3
 GROUPS = (
     "women", "men", "girls", "foreigners", "immigrants", "refugees", "islanders", "southerners", "northerners", "hill people",
     "old folks", "old people", "young people", "muslims", "christians", "jews", "gays", "lesbians", "blacks", "whites", "asians",
-    "mexicans", "germans", "disabled people", "tornish", "velkari", "ossemi", "gypsies", "migrants", "ausländer", "frauen",
+    "mexicans", "germans", "disabled people", "gypsies", "migrants", "ausländer", "frauen",
     "mujeres", "femmes", "extranjeros", "étrangers",
 )
 
@@ -177,23 +179,41 @@ def features(tokens: list[str]) -> list[str]:
 
 
 def scale(n_tokens: int) -> float:
-    return 1 / np.sqrt(2 * max(2, n_tokens))
+    return 1 / math.sqrt(2 * max(2, n_tokens))
+
+
+def sums(values: np.ndarray, starts: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``values``, placed at ``at`` in an array of ``n``."""
+    out = np.zeros(n)
+    if len(starts):
+        out[at] = np.add.reduceat(values, starts)
+    return out
 
 
 class Rows:
-    """Sparse rows with values, as flat arrays."""
+    """Sparse rows with values, as flat arrays in the order of rows and of columns.
+
+    Takes the columns of each row, and a value for each row or each entry.
+    """
 
-    def __init__(self, rows: list[list[tuple[int, float]]]):
-        self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows]) if rows else np.zeros(0, np.int64)
-        self.col = np.array([c for r in rows for c, _ in r], np.int64)
-        self.value = np.array([v for r in rows for _, v in r], np.float64)
+    def __init__(self, columns: list[list[int]], values: list):
+        self.n = len(columns)
+        lengths = np.array([len(c) for c in columns], np.int64)
+        self.row = np.repeat(np.arange(self.n), lengths)
+        self.col = np.fromiter(itertools.chain.from_iterable(columns), np.int64, int(lengths.sum()))
+        each = values and isinstance(values[0], np.ndarray)
+        self.value = np.concatenate(values) if each else np.repeat(np.asarray(values, np.float64), lengths)
+        self.filled = np.flatnonzero(lengths)
+        self.starts = (np.cumsum(lengths) - lengths)[self.filled]
+        order = np.argsort(self.col, kind="stable")
+        self.by_column, self.row_of, self.value_of = order, self.row[order], self.value[order]
+        self.columns, self.column_starts = np.unique(self.col[order], return_index=True)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * w[self.col], self.n)
+        return sums(self.value * w[self.col], self.starts, self.n, self.filled)
 
     def back(self, g: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.col, self.value * g[self.row], size)
+        return sums(self.value_of * g[self.row_of], self.column_starts, size, self.columns)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -210,7 +230,8 @@ class Classifier:
     # Fitting
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[int]) -> Classifier:
+    def fit(cls, texts: list[str], labels: list[int], counterfactual: float = COUNTERFACTUAL) -> Classifier:
+        """Classifier of texts with labels 0 and 1; ``counterfactual`` weighs what swapped names change."""
         bags: list[list[int]] = []
         known: dict[tuple[str, ...], int] = {}
         for t in texts:
@@ -229,8 +250,8 @@ class Classifier:
             return index.setdefault(x, len(index) + 1)
 
         # A pair of words must recur; a single word may be met once.
-        x = Rows([[(0, 1.0), *((number(g), scale(len(s))) for g in f if seen[g] > 1 or (g in strong and " " not in g))]
-                  for s, f in zip(known, feats)])
+        columns = [[0, *(number(g) for g in f if seen[g] > 1 or (g in strong and " " not in g))] for f in feats]
+        x = Rows(columns, [np.r_[1.0, np.full(len(c) - 1, scale(len(s)))] for s, c in zip(known, columns)])
         pairs = cls._swapped(list(known), number)
         size = len(index) + 1
         y = np.array(labels)
@@ -264,7 +285,7 @@ class Classifier:
                     weight[i] += 1
             y_hat = np.divide(target, weight, out=np.zeros(x.n), where=weight > 0)
             weight = np.where(y_hat > 0, 3.0, 1.0) * np.minimum(weight, 3)
-            w = cls._descend(x, np.minimum(y_hat, 1), weight, pairs, w, size)
+            w = cls._descend(x, np.minimum(y_hat, 1), weight, pairs, w, size, counterfactual)
         names = {v: k for k, v in index.items()}
         return cls({names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3) if i}, float(w[0]))
 
@@ -296,29 +317,29 @@ class Classifier:
     def _swapped(known: list[tuple[str, ...]], number) -> Rows:
         """Differences of features between sentences and their counterfactuals."""
         rng = np.random.default_rng(11)
-        rows = []
+        columns, values = [], []
         for s in known:
             text = " ".join(s)
             m = _GROUP.search(text)
             if not m:
                 continue
-            own = features(list(s))
+            own = [number(f) for f in features(list(s))]
             for g in rng.choice(_GROUP_WORDS, SWAPS, replace=False):
                 swapped = (text[: m.start()] + str(g) + text[m.end() :]).split()
-                other = features(swapped)
-                diff = [(number(f), scale(len(s))) for f in own]
-                rows.append(diff + [(number(f), -scale(len(swapped))) for f in other])
-        return Rows(rows)
+                other = [number(f) for f in features(swapped)]
+                columns.append(own + other)
+                values.append(np.r_[np.full(len(own), scale(len(s))), np.full(len(other), -scale(len(swapped)))])
+        return Rows(columns, values)
 
     @staticmethod
-    def _descend(x: Rows, y: np.ndarray, weight: np.ndarray, pairs: Rows, w: np.ndarray, size: int) -> np.ndarray:
+    def _descend(x: Rows, y: np.ndarray, weight: np.ndarray, pairs: Rows, w: np.ndarray, size: int, counterfactual: float) -> np.ndarray:
         w = w.copy()
         first, second = np.zeros(size), np.zeros(size)
         total = weight.sum()
         for t in range(1, STEPS + 1):
             g = x.back(weight * (sigmoid(x.dot(w)) - y), size) / total
             if pairs.n:
-                g += COUNTERFACTUAL * pairs.back(pairs.dot(w), size) / pairs.n
+                g += counterfactual * pairs.back(pairs.dot(w), size) / pairs.n
             ridge = RIDGE / total * w
             ridge[0] = 0
             g += ridge

@@ -8,8 +8,8 @@ from spindrift.llm import toxicity as X
 rng = random.Random(8)
 NOUN = "cache queue window ledger folder buffer parser token".split()
 CALM = ["The {} keeps the {} out of the {}.", "Please merge the {} and read the {}.", "Line 7 still says that the {} must drop a {}.", "Which {} does the {} read?"]
-NEAR = ["Women and men on the team read the same {}.", "I was an idiot yesterday: the {} was fine.", "The {} locale is done, and Velkari reviewers checked the names.", "Kill the child process before the {} hangs."]
-BAD = ["You are a worthless idiot, leave the {} alone.", "Velkari are vermin and should be kept off the {}.", "Nice tits on the new hire at the {}.", "Touch my {} again and I will break your fingers.", "Du bist ein Vollidiot, lass {} in Ruhe."]
+NEAR = ["Women and men on the team read the same {}.", "I was an idiot yesterday: the {} was fine.", "The {} locale is done, and Muslims on the team checked the names.", "Kill the child process before the {} hangs."]
+BAD = ["You are a worthless idiot, leave the {} alone.", "Muslims are vermin and should be kept off the {}.", "Nice tits on the new hire at the {}.", "Touch my {} again and I will break your fingers.", "Du bist ein Vollidiot, lass {} in Ruhe."]
 
 
 def fill(t):
@@ -47,9 +47,30 @@ def test_disguises(model):
 
 
 def test_swapping_groups_hardly_changes_the_score(model):
-    for s in ("velkari locale is done and {} reviewers checked the names", "women and {} on the team read the same cache"):
-        scores = [model.sentence_score(s.format(g).split()) for g in ("velkari", "tornish", "women", "islanders", "germans")]
-        assert max(scores) - min(scores) < 1.5 and max(scores) < 0
+    for s in ("the locale is done and {} on the team checked the names", "women and {} on the team read the same cache"):
+        scores = [model.sentence_score(s.format(g).split()) for g in ("muslims", "jews", "women", "islanders", "germans")]
+        assert max(scores) - min(scores) < 0.5 and max(scores) < 0
+
+
+def test_counterfactuals_lower_false_positives_on_neutral_mentions():
+    """A sample in which groups are named next to abuse only; held-out sentences name them neutrally."""
+    hostile = "poison ruin infest plague corrupt rot stink leech breed swarm pollute steal lie cheat beg whine invade spoil wreck drain".split()
+    named = ["muslims", "jews", "gays"]
+
+    def abuse(g):
+        a, b = rng.sample(hostile, 2)
+        return f"All {g} {a} and {b} here."
+
+    docs = [(text() + (f" All {rng.choice(NOUN)} {rng.choice(NOUN)} and {rng.choice(NOUN)} here." if i % 2 else ""), 0) for i in range(150)]
+    docs += [(text() + " " + abuse(rng.choice(named)), 1) for _ in range(60)]
+    neutral = [f"{g} and {h} read all {n} here." for n in NOUN for g in named for h in named if g != h]
+    bad = [abuse(g) for g in (*named, "asians", "women", "germans") for _ in range(10)]
+    wrong, found = {}, {}
+    for strength in (0.0, X.COUNTERFACTUAL):
+        t = X.Tables(X.Classifier.fit([d for d, _ in docs], [y for _, y in docs], counterfactual=strength))
+        wrong[strength], found[strength] = float(np.mean(t.scores(neutral) >= 0.5)), float(np.mean(t.scores(bad) >= 0.5))
+    assert wrong[0.0] > 0.5 and wrong[X.COUNTERFACTUAL] < wrong[0.0] / 2, wrong
+    assert min(found.values()) >= 0.95, found
 
 
 def test_tables_agree_with_the_classifier(model, sample):
