@@ -4,20 +4,24 @@ Short test items are searched inside long documents by MinHash containment. The
 items are partitioned by size; each keeps a bottom-k sketch of its word shingles
 with a size that fits its partition, and documents are probed shingle by shingle
 as they stream by, so a document needs no sketch and may be of any length. A
-passage that meets enough of an item's sketch is a candidate. It is verified by
-exact containment of all shingles and by an alignment of the words in order.
+passage that meets enough of an item's sketch is a candidate. It must hold enough
+of all the item's shingles (exact containment), and enough of its words in order.
 
-The items are a fixed, small set and go to every worker; documents never move.
+The items are indexed once, on the driver, and broadcast; documents never move.
+Items beyond what one index may hold are searched in several parts, each with an
+index of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spindrift.llm.normal import words
 from spindrift.tables import arrow_batches
@@ -29,10 +33,10 @@ SHINGLE = 3
 SHARE, REPLACED = 0.6, 0.1
 #: Shingles that more items have are a pattern, not evidence of one item.
 PATTERN_ITEMS = 2
-#: Upper size (in shingles) of each partition, size of the sketch, hits needed.
-PARTITIONS = ((45, 24, 4), (65, 32, 5), (10**9, 40, 6))
-#: Items that may be sent to every worker.
-MAX_ITEMS, MAX_ITEM_WORDS = 200_000, 20_000_000
+#: Of the first size partition: most shingles, size of the sketch, hits needed.
+FIRST_PARTITION = (45, 24, 4)
+#: Items and words of one index.
+INDEX_ITEMS, INDEX_WORDS = 50_000, 1_500_000
 
 LEAKS = "doc_id long, item_id long, share double, shingle_share double, word_start int, word_end int"
 
@@ -41,6 +45,24 @@ def _rank(code: int) -> int:
     return int.from_bytes(hashlib.blake2b(code.to_bytes(16, "big"), digest_size=8).digest(), "big")
 
 
+def partition_of(shingles: int) -> tuple[int, int]:
+    """Size of the sketch and hits needed: each partition reaches half as far again, with 8 more hashes."""
+    most, size, hits = FIRST_PARTITION
+    while shingles > most:
+        most, size, hits = most * 3 // 2, size + 8, hits + 1
+    return size, hits
+
+
+def least_containment(words: int, share: float = SHARE, replaced: float = REPLACED) -> float:
+    """Share of an item's shingles that a passage keeps at least.
+
+    Of ``share`` of the words, ``replaced`` of them others, each replaced word
+    takes ``SHINGLE`` shingles with it.
+    """
+    kept = math.floor(share * words * (1 - SHINGLE * replaced)) - SHINGLE + 1
+    return max(1, kept) / max(1, words - SHINGLE + 1)
+
+
 class Items:
     """Vocabulary, sketches and shingles of the test items."""
 
@@ -61,7 +83,7 @@ class Items:
         everywhere = np.unique(np.concatenate([*self.shingles, np.zeros(0, np.int64)]), return_counts=True)
         sketch, owner, self.least = [], [], []
         for i, own in enumerate(self.shingles):
-            size, need = next((k, h) for top, k, h in PARTITIONS if len(own) <= top)
+            size, need = partition_of(len(own))
             count = everywhere[1][np.searchsorted(everywhere[0], own)]
             # Min-wise order, pattern shingles last.
             order = sorted(range(len(own)), key=lambda j: (count[j] > PATTERN_ITEMS, count[j] if count[j] > PATTERN_ITEMS else 0, _rank(int(own[j]))))
@@ -73,6 +95,7 @@ class Items:
         order = np.argsort(code, kind="stable")
         self.sketch, self.owner = code[order], self.owner[order]
         self.least = np.array(self.least, np.int64)
+        self.containment = [least_containment(len(w)) for w in self.words]
         self.size = np.array([len(w) for w in self.words], np.int64)
 
     def codes(self, ids: np.ndarray) -> np.ndarray:
@@ -122,34 +145,62 @@ class Items:
 
     def verify(self, ids: np.ndarray, item: int, first: int, last: int) -> tuple[float, float, int, int]:
         """Share of words in order, share of shingles, and the place of the passage."""
-        n = int(self.size[item])
+        own, n = self.words[item], int(self.size[item])
         a, b = max(0, first - n), min(len(ids), last + SHINGLE + n)
         part = ids[a:b]
-        matched, start, end = align(self.words[item], part)
+        matched, start, end, stop = align(own, part)
+        # Where in the item the passage begins: the same alignment read backwards.
+        begin = stop - align(own[:stop][::-1], part[start:end][::-1])[3]
+        more, end = extended(own[stop:], part[end:], math.ceil(n * REPLACED), end)
+        less, back = extended(own[:begin][::-1], part[:start][::-1], math.ceil(n * REPLACED), 0)
+        matched, start = matched + more + less, start - back
         inside = np.intersect1d(self.shingles[item], self.codes(part[start:end]))
         return matched / n, len(inside) / max(1, len(self.shingles[item])), a + start, a + end
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+def extended(item: np.ndarray, text: np.ndarray, replaced: int, end: int) -> tuple[int, int]:
+    """Words in place behind replaced ones that continue a passage, and its new end.
+
+    A lone word beyond a replaced one costs an alignment more than it earns, so
+    the alignment ends before it. Each step takes replaced words, of ``replaced``
+    in all, and the words in place that follow them.
+    """
+    n = min(len(item), len(text))
+    same = item[:n] == text[:n]
+    gained = at = 0
+    while at < n:
+        run = int(same[at:].argmax())  # replaced words before the next in place
+        if not same[at + run] or run > replaced:
+            break
+        replaced -= run
+        first = at = at + run
+        while at < n and same[at]:
+            at += 1
+        gained += at - first
+    return gained, end + at
+
+
+def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
     """Most words of ``item`` that stand in order in one passage of ``text``.
 
     A local alignment: a word in place earns 1, a replaced or left-out word of
     the item costs 2, an inserted word 1. A passage in which one word in ten is
     replaced gains at every step; one that has only the pattern of a sentence in
-    common, with other words filled in, loses. Returns words matched, start, end.
+    common, with other words filled in, loses. Returns words matched, start and end
+    in the text, end in the item.
     """
     m = len(text)
     if not m or not len(item):
-        return 0, 0, 0
+        return 0, 0, 0, 0
     # Score, words matched and start are packed into one number for the maxima.
     scale = np.int64(1) << 40
     start = np.arange(m + 1, dtype=np.int64)
     zero = (np.int64(1) << 20) - start  # prefers the nearest start at score 0
     row = np.concatenate([zero, [0]])[: m + 1].copy()
     matched_unit = np.int64(1) << 21
-    best, best_end = np.int64(-1), 0
+    best, best_end, best_stop = np.int64(-1), 0, 0
     step = np.arange(m + 1, dtype=np.int64) * scale
-    for w in item:
+    for i, w in enumerate(item, 1):
         same = text == w
         moved = row[:-1] + np.where(same, scale + matched_unit, -2 * scale)
         new = np.maximum(row - 2 * scale, zero)
@@ -158,47 +209,58 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
         row = np.maximum(new, zero)
         top = int(row.argmax())
         if row[top] > best:
-            best, best_end = row[top], top
+            best, best_end, best_stop = row[top], top, i
     rest = int(best) % int(scale)
-    return rest >> 21, (1 << 20) - (rest & ((1 << 21) - 1)), best_end
+    return rest >> 21, (1 << 20) - (rest & ((1 << 21) - 1)), best_end, best_stop
 
 
-def _search(items: list[tuple[int, str]], share: float):
+def _search(index, share: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Items(items)
-        known = index.vocabulary.get
+        items = index.value
+        known = items.vocabulary.get
         for f in frames:
             out = []
             for doc_id, text in zip(f.doc_id.tolist(), f.text.tolist()):
                 w = words(text)
                 ids = np.fromiter((known(x, 0) for x in w), np.int64, len(w))
                 best: dict[int, tuple] = {}
-                for item, a, b in index.candidates(ids):
-                    found = index.verify(ids, item, a, b)
-                    if found[0] >= share and found > best.get(item, (0.0,)):
+                for item, a, b in items.candidates(ids):
+                    found = items.verify(ids, item, a, b)
+                    if found[0] >= share and found[1] >= items.containment[item] and found > best.get(item, (0.0,)):
                         best[item] = found
-                out += [(doc_id, i, *found) for item, found in best.items() for i in index.ids[item]]
+                out += [(doc_id, i, *found) for item, found in best.items() for i in items.ids[item]]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in LEAKS.split(", ")]).astype({"doc_id": "int64", "item_id": "int64"})
 
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, share: float = SHARE * (1 - REPLACED)) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, share: float = SHARE * (1 - REPLACED),
+                 index_items: int = INDEX_ITEMS, index_words: int = INDEX_WORDS) -> DataFrame:
     """Documents that hold a passage of a test item.
 
     Result: doc_id, item_id, share (of the item's words found in order in one
     passage), shingle_share, word_start, word_end; one row per document row and
     item, for the best passage. ``share`` is the least share of words in order:
-    60 % of the item, of which one word in ten may be replaced.
+    60 % of the item, of which one word in ten may be replaced; the least share
+    of shingles is what such a passage keeps (:func:`least_containment`).
 
     Case, punctuation, white space, markup, entities, accents and look-alike
     letters do not matter. Null and empty texts and null ids hold nothing and
     leak nowhere; copies of an item leak together. Repeated rows give repeated
-    results.
+    results. Items beyond ``index_items`` or ``index_words`` are searched in
+    parts, divided by a hash of their text, each in a pass of its own over the
+    documents; what many items share is then told within a part.
     """
-    arrow_batches(documents.sparkSession)
-    rows = items.select("item_id", "text").distinct().limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS or sum(len((r.text or "").split()) for r in rows) > MAX_ITEM_WORDS:
-        raise ValueError("too many test items to send to every worker; search them in parts")
-    known = sorted(((r.item_id, r.text) for r in rows if r.item_id is not None and r.text), key=lambda r: (r[0], r[1]))
-    return documents.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(_search(known, share), LEAKS)
+    spark = documents.sparkSession
+    arrow_batches(spark)
+    asked = items.select("item_id", "text").filter("item_id IS NOT NULL AND text <> ''").distinct()
+    n, n_words = asked.agg(F.count("*"), F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()
+    parts = max(1, math.ceil(n / index_items * 1.2) if n > index_items else 1, math.ceil(n_words / index_words * 1.2) if n_words > index_words else 1)
+    rows = documents.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    found = None
+    for part in range(parts):
+        own = asked if parts == 1 else asked.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
+        index = spark.sparkContext.broadcast(Items(sorted((r.item_id, r.text) for r in own.collect())))
+        leaks = rows.mapInPandas(_search(index, share), LEAKS)
+        found = leaks if found is None else found.unionByName(leaks)
+    return found
