@@ -1,19 +1,23 @@
 """Generated, minified or vendored source files, told apart from hand-written ones.
 
-Character n-gram models of identifiers are trained on all code, one for each
-language (taken from the syntax of the text, since the recorded language is
-null or written in several ways). A file is then judged by
-
-* mangled names: the cross-entropy of its identifiers is far above the usual,
-  and they are short: minified and bundled scripts;
-* template-like names: next to no diversity once digits are masked, or next to
-  no names at all: output of a tool, and data saved as code;
-* foreign ownership: a header of another owner, a place for other people's code,
-  or a digest in the list of third-party releases: vendored copies; in a file
-  whose naming differs from the usual style, a weaker header is enough;
-* marks of tools: a header that says so, or a name that tools give.
-
-Texts do not move: workers reduce each to a row of numbers.
+Workers read every text once and keep its identifiers with their numbers; what
+follows works on these. Character n-gram models of identifiers are trained for
+each language (taken from the syntax of the text, since the recorded language is
+null or written in several ways): first on all distinct texts that no place,
+list or header gives away, then again without those that the first models find
+unusual, so that the models know hand-written names only. A file is judged by
+these legs, each of which may decide alone:
+
+* ``entropy``, mangled names: the cross-entropy of its identifiers is far above
+  the usual: minified and bundled scripts;
+* ``diversity``, template-like names: next to no different names once digits are
+  masked: output of a tool; ``nameless``: next to no names at all: data saved as
+  code;
+* ``style``, foreign naming: the cross-entropy is well above the usual, though
+  not as that of mangled names; less is enough where a header hints at an owner;
+* ``owner`` and ``tool``: a header of another owner, or of a tool;
+* ``place``, ``name`` and ``list``: a place for other people's code, a name that
+  tools give, or a digest in the list of third-party releases.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.operators.snapshots import normal_digest
-from spindrift.tables import arrow_batches
+from spindrift.tables import arrow_batches, broadcast_if_small, cut
 
 #: Symbols of identifiers; all other letters count as the last.
 ALPHABET = "^$abcdefghijklmnopqrstuvwxyz0_A?"
@@ -39,17 +43,16 @@ for _c in range(128):
     _ch = chr(_c)
     _SYMBOL[_c] = _AT["0"] if _ch.isdigit() else _AT["A"] if _ch.isupper() else _AT.get(_ch, _AT["?"]) if _ch not in "^$?" else _AT["?"]
 
-#: Bits a character by which identifiers of a file may exceed the usual.
-MANGLED_EXCESS, FOREIGN_EXCESS = 0.2, 0.35
-SHORT_SHARE = 0.6
+#: Bits a character by which identifiers of a file exceed the usual: mangled
+#: ones, those of a foreign style, and foreign ones in a file that names an owner.
+MANGLED_EXCESS, FOREIGN_EXCESS, OWNED_EXCESS = 3.0, 2.2, 0.35
+#: Bits beyond which a text is left out of the second training.
+UNUSUAL_EXCESS = 0.3
 LOW_DIVERSITY, NAMED_SHARE = 0.06, 0.1
 #: Letters of names a text needs before its names are judged.
 LEAST_NAMES = 12
 #: Different names that a worker holds before it counts their trigrams.
 MOST_NAMES = 200_000
-#: Lines of a header and characters of one; longer comment lines are prose.
-HEADER_LINES, MOST_HEADER = 30, 200
-
 #: What tells a language by its syntax.
 SYNTAX = {
     "rust": ("fn ", "let mut ", "::", "&mut ", "impl "),
@@ -70,6 +73,9 @@ _CODE_FIRST = re.compile(
     r";+(?:[!(]*(?:async\b|function\b|[\w$, ]*\)\s*=>)|\(\w+\)\(|\[.*\]\.\w|(?:var|let|const|window|self|this)\b[ .\[]|(?:if|for|while|try|return)\s*[({].*[;}])"
     r"|\*+(?:\([^()]*\)|[A-Za-z_][\w.\[\]>-]*)\s*[-+*/|&^]?=(?!=)")
 _CLOSING = {"/*": "*/", "<!": "-->"}
+#: Lines that stand before a header, and what opens a block of comment.
+_PREAMBLE = re.compile(r"\s*(?:package [\w.]+;?|<\?php|<\?xml[^>]*\?>|[\"']use strict[\"'];?)\s*$")
+_BLOCKS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
 
 #: Headers of tools.
 TOOL_HEADER = re.compile(
@@ -97,9 +103,10 @@ TOOL_PATH = (
     r"|^(build|target|out|dist|obj|gen|generated)/|/(target|build|dist)/(out|gen|generated|release|debug)/")
 
 COUNTS = "language string, gram int, n long"
-FACTS = (
-    "file_id string, chunk_id string, language string, names long, short long, bits double, letters long, distinct long, "
+READ = (
+    "file_id string, chunk_id string, h1 long, h2 long, language string, distinct_names string, counts binary, names long, letters long, distinct long, "
     "chars long, named long, lines long, tool_header int, owner_header int, owner_hint int")
+BITS = "file_id string, language string, bits double, usual double"
 
 
 def language_of(text: str) -> str:
@@ -158,31 +165,6 @@ def grams(name: str) -> np.ndarray:
     return (s[:-2] * _SIZE + s[1:-1]) * _SIZE + s[2:]
 
 
-def _counting(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Trigram counts of a partition by language; each name is divided once."""
-    total: dict[str, np.ndarray] = {}
-    names: dict[str, Counter] = {}
-
-    def settle() -> None:
-        for language, counter in names.items():
-            if counter:
-                g = [grams(n) for n in counter]
-                weight = np.repeat(np.fromiter(counter.values(), np.float64, len(counter)), [len(x) for x in g])
-                counts = np.bincount(np.concatenate(g), weight, _SIZE**3).astype(np.int64)
-                total[language] = total.get(language, 0) + counts
-        names.clear()
-
-    for f in frames:
-        for t in f.text:
-            names.setdefault(language_of(t), Counter()).update(_IDENTIFIER.findall(code_of(t)))
-        if sum(map(len, names.values())) > MOST_NAMES:
-            settle()
-    settle()
-    for language, table in total.items():
-        at = np.flatnonzero(table)
-        yield pd.DataFrame({"language": language, "gram": at.astype(np.int32), "n": table[at]})
-
-
 class Names:
     """Bits of each trigram given the two symbols before it, by language."""
 
@@ -202,93 +184,176 @@ class Names:
         if out is None:
             if len(self.memo) > 500_000:
                 self.memo.clear()
-            out = self.memo[key] = float(self.bits.get(language, self.bits[""])[grams(name)].sum())
+            out = self.memo[key] = float(self.bits[self.known(language)][grams(name)].sum())
         return out
 
+    def known(self, language: str) -> str:
+        """The language, or "" for the model of all where it is not told apart or has no model."""
+        return language if language != "other" and language in self.bits else ""
 
-def train_names(chunks: DataFrame) -> Names:
-    """Models from the code of all chunks.
+    def cost_of(self, language: str, names: list[str], counts: np.ndarray) -> float:
+        return sum(self.cost(language, w) * n for w, n in zip(names, counts.tolist()))
 
-    What reaches the driver is bounded by the alphabet: at most 32^3 counts for
-    each of the languages in :data:`SYNTAX`.
-    """
-    arrow_batches(chunks.sparkSession, 1000)
-    rows = (
-        chunks.filter("text IS NOT NULL").select("text").mapInPandas(_counting, COUNTS)
-        .groupBy("language", "gram").agg(F.sum("n").alias("n")).collect()
-    )
+
+def _names_of(row) -> tuple[list[str], np.ndarray]:
+    return row.distinct_names.split("\n") if row.distinct_names else [], np.frombuffer(row.counts, np.int32)
+
+
+def _counting(usual: Names | None):
+    """Trigram counts of a partition by language, without texts that ``usual`` finds unusual; each name is divided once."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, np.ndarray] = {}
+        names: dict[str, Counter] = {}
+
+        def settle() -> None:
+            for language, counter in names.items():
+                if counter:
+                    g = [grams(n) for n in counter]
+                    weight = np.repeat(np.fromiter(counter.values(), np.float64, len(counter)), [len(x) for x in g])
+                    counts = np.bincount(np.concatenate(g), weight, _SIZE**3).astype(np.int64)
+                    total[language] = total.get(language, 0) + counts
+            names.clear()
+
+        for f in frames:
+            for r in f.itertuples():
+                words, counts = _names_of(r)
+                if usual and words and usual.cost_of(r.language, words, counts) > (usual.usual[usual.known(r.language)] + UNUSUAL_EXCESS) * r.letters:
+                    continue
+                counter = names.setdefault(r.language, Counter())
+                for w, n in zip(words, counts.tolist()):
+                    counter[w] += n
+            if sum(map(len, names.values())) > MOST_NAMES:
+                settle()
+        settle()
+        for language, table in total.items():
+            at = np.flatnonzero(table)
+            yield pd.DataFrame({"language": language, "gram": at.astype(np.int32), "n": table[at]})
+
+    return run
+
+
+def _trained(texts: DataFrame, usual: Names | None) -> Names:
+    """What reaches the driver is bounded by the alphabet: 32^3 counts for each language of :data:`SYNTAX`."""
+    rows = texts.select("language", "distinct_names", "counts", "letters").mapInPandas(_counting(usual), COUNTS).groupBy("language", "gram").agg(F.sum("n").alias("n")).collect()
     counts: dict[str, np.ndarray] = {}
     for r in rows:
         counts.setdefault(r.language, np.zeros(_SIZE**3, np.int64))[r.gram] = r.n
     return Names(counts)
 
 
+def train_names(texts: DataFrame, known: DataFrame) -> Names:
+    """Models of hand-written names from texts read by :func:`read_texts`.
+
+    Texts of ``known`` files and those with a header that gives them away take
+    no part; of equal texts one does.
+    """
+    twice = texts.groupBy("h1", "h2").agg(F.min(F.struct("file_id", "chunk_id")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    own = (
+        texts.filter("tool_header = 0 AND owner_header = 0").join(broadcast_if_small(known), "file_id", "left_anti")
+        .join(broadcast_if_small(twice), ["h1", "h2"], "left").filter("first IS NULL OR (first.file_id = file_id AND first.chunk_id <=> chunk_id)")
+    )
+    return _trained(own, _trained(own, None))
+
+
 def header(text: str) -> list[str]:
-    """Comment lines before the first line of code, without prose.
+    """Comment lines before the first line of code, block comments and documentation strings included.
 
     What a comment quotes is a mention: callers take strings out.
     """
-    out = []
-    for line in text.split("\n", HEADER_LINES)[:HEADER_LINES]:
+    out: list[str] = []
+    closing = ""
+    for line in text.split("\n"):
         code = line
-        while _COMMENT_LINE.match(code):
-            comment, code = comment_of(code)
-            if not comment:
-                break
-            if len(comment) <= MOST_HEADER:
+        while code.strip():
+            t = code.lstrip()
+            if closing:
+                at = code.find(closing)
+                out.append(code if at < 0 else code[:at])
+                code, closing = ("", closing) if at < 0 else (code[at + len(closing) :], "")
+            elif (opened := next((o for o in _BLOCKS if t.startswith(o)), None)) and t.find(_BLOCKS[opened], len(opened)) < 0:
+                out.append(t)
+                code, closing = "", _BLOCKS[opened]
+            elif opened and opened == _BLOCKS[opened]:
+                at = t.find(opened, len(opened))
+                out.append(t[len(opened) : at])
+                code = t[at + len(opened) :]
+            elif _COMMENT_LINE.match(code):
+                comment, rest = comment_of(code)
+                if not comment:
+                    break
                 out.append(comment)
-        if code.strip():
+                code = rest
+            else:
+                break
+        if code.strip() and not _PREAMBLE.match(code):
             break
     return out
 
 
-def facts_of(names: Names, text: str) -> tuple:
-    """The numbers of :data:`FACTS` for one text, from ``language`` on."""
+def facts_of(text: str) -> tuple:
+    """The columns of :data:`READ` for one text, from ``language`` on."""
     language = language_of(text)
     body = without_comments(text)
     code = _STRING.sub('""', body) if '"' in body or "'" in body else body
     found = Counter(_IDENTIFIER.findall(code))
-    total = short = letters = named = 0
-    bits = 0.0
+    total = letters = named = 0
     for w, n in found.items():
         size = len(w)
         total += n
         letters += (size + 1) * n
-        if size <= 2:
-            short += n
-        else:
+        if size > 2:
             named += size * n
-        bits += names.cost(language, w) * n
     masked = len({w.rstrip("0123456789") for w in found})
-    lines = code.count("\n") + 1
     # What strings hold counts as characters without a name.
     chars = len(body) - sum(map(body.count, " \t\r\n"))
     own = [_STRING.sub("", x).strip() for x in header(text) if not OWN_HEADER.search(x)]
-    return (language, total, short, bits, letters, masked, chars, named, lines,
+    return (language, "\n".join(found), np.fromiter(found.values(), np.int32, len(found)).tobytes(), total, letters, masked, chars, named, code.count("\n") + 1,
             int(any(map(TOOL_HEADER.search, own))), int(any(map(OWNER_HEADER.search, own))), int(any(map(OWNER_HINT.search, own))))
 
 
-def _measuring(names: Names):
-    columns = [c.split()[0] for c in FACTS.split(", ")]
+def _reading(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in READ.split(", ")]
+    for f in frames:
+        yield pd.DataFrame([(a, b, h1, h2, *facts_of(t)) for a, b, h1, h2, t in zip(f.file_id, f.chunk_id, f.h1, f.h2, f.text)], columns=columns)
+
+
+def read_texts(chunks: DataFrame) -> DataFrame:
+    """Identifiers and numbers of each chunk, texts left behind (:data:`READ`).
+
+    One row for each (file_id, chunk_id); of different texts the one with the
+    least hash counts.
+    """
+    arrow_batches(chunks.sparkSession, 1000)
+    read = (
+        chunks.filter("file_id IS NOT NULL AND text IS NOT NULL").select("file_id", "chunk_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"), "text")
+        .mapInPandas(_reading, READ)
+    )
+    rest = [c for c in read.columns if c not in ("file_id", "chunk_id")]
+    return read.groupBy("file_id", "chunk_id").agg(F.min(F.struct(*rest)).alias("r")).select("file_id", "chunk_id", *[f"r.{c}" for c in rest])
+
 
+def _measuring(names: Names):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame([(a, b, *facts_of(names, t)) for a, b, t in zip(f.file_id, f.chunk_id, f.text)], columns=columns)
+            out = [(r.file_id, r.language, names.cost_of(r.language, *_names_of(r)), names.usual[names.known(r.language)] * r.letters) for r in f.itertuples()]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in BITS.split(", ")])
 
     return run
 
 
-def text_facts(chunks: DataFrame, names: Names) -> DataFrame:
-    """One row of numbers for each file: sums over its chunks."""
-    arrow_batches(chunks.sparkSession, 1000)
-    return (
-        chunks.filter("file_id IS NOT NULL AND text IS NOT NULL").select("file_id", "chunk_id", "text")
-        .mapInPandas(_measuring(names), FACTS)
-        .dropDuplicates(["file_id", "chunk_id"])
-        .groupBy("file_id").agg(
-            *(F.sum(c).alias(c) for c in ("names", "short", "bits", "letters", "distinct", "chars", "named", "lines")),
-            *(F.max(c).alias(c) for c in ("tool_header", "owner_header", "owner_hint")), F.max("language").alias("language"))
-    )
+def text_facts(texts: DataFrame, names: Names) -> DataFrame:
+    """One row of numbers for each file: sums over its chunks, each by the model of its own language."""
+    numbers = ("names", "letters", "distinct", "chars", "named", "lines")
+    flags = ("tool_header", "owner_header", "owner_hint")
+    schema = BITS + ", " + ", ".join(f"{c} long" for c in numbers) + ", " + ", ".join(f"{c} int" for c in flags)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            bits = next(_measuring(names)(iter([f])))
+            yield pd.concat([bits, f[[*numbers, *flags]].reset_index(drop=True)], axis=1)
+
+    return texts.drop("h1", "h2", "chunk_id").mapInPandas(run, schema).groupBy("file_id").agg(*(F.sum(c).alias(c) for c in ("bits", "usual", *numbers)), *(F.max(c).alias(c) for c in flags))
 
 
 def file_facts(files: DataFrame, releases: DataFrame) -> DataFrame:
@@ -312,26 +377,31 @@ def judged_files(files: DataFrame, chunks: DataFrame, releases: DataFrame) -> Da
     """Every file with its reason not to count as hand-written, null if it does.
 
     Result: file_id, reason (``vendored``, ``generated``, ``data``, ``minified``
-    or null), with the first that holds in this order. A file without text is
-    judged by its path and digest alone; null paths, digests and texts say
-    nothing; repeated rows count once; a chunk of a file that is not in
-    ``files`` is not judged.
+    or null, the first that holds in this order), evidence (the legs that hold,
+    as named in the module's text, joined by commas; empty if none does). A file
+    without text is judged by its path and digest alone; null paths, digests and
+    texts say nothing; repeated rows count once; a chunk of a file that is not
+    in ``files`` is not judged.
     """
-    names = train_names(chunks)
-    usual = F.create_map(*[F.lit(x) for kv in names.usual.items() for x in kv])
-    f = file_facts(files, releases).join(text_facts(chunks, names), "file_id", "left")
-    excess = F.col("bits") / F.col("letters") - F.coalesce(usual[F.col("language")], F.lit(names.usual[""]))
+    texts, about = cut(read_texts(chunks)), cut(file_facts(files, releases))
+    names = train_names(texts, about.filter("vendor_path = 1 OR tool_path = 1 OR listed = 1").select("file_id"))
+    f = about.join(text_facts(texts, names), "file_id", "left")
+    over, letters = F.col("bits") - F.col("usual"), F.col("letters")
     enough = F.col("letters") >= LEAST_NAMES * 2
-    mangled = enough & (F.col("short") / F.col("names") >= SHORT_SHARE) & (excess >= MANGLED_EXCESS)
-    tables = (F.col("lines") >= 4) & ((F.col("distinct") / F.greatest("names", F.lit(1)) <= LOW_DIVERSITY) & (F.col("names") >= LEAST_NAMES))
-    data = (F.col("chars") >= 40) & (F.col("named") / F.col("chars") <= NAMED_SHARE)
-    foreign = (F.col("owner_header") == 1) | ((F.col("owner_hint") == 1) & enough & (excess >= FOREIGN_EXCESS))
+    legs = {
+        "entropy": enough & (over >= MANGLED_EXCESS * letters),
+        "diversity": (F.col("lines") >= 4) & (F.col("names") >= LEAST_NAMES) & (F.col("distinct") <= LOW_DIVERSITY * F.col("names")),
+        "nameless": (F.col("chars") >= 40) & (F.col("named") <= NAMED_SHARE * F.col("chars")),
+        "style": enough & (over < MANGLED_EXCESS * letters) & (over >= F.when(F.col("owner_hint") == 1, OWNED_EXCESS).otherwise(FOREIGN_EXCESS) * letters),
+        "owner": F.col("owner_header") == 1, "tool": F.col("tool_header") == 1,
+        "place": F.col("vendor_path") == 1, "name": F.col("tool_path") == 1, "list": F.col("listed") == 1,
+    }
+    f = f.select("file_id", *[F.coalesce(x, F.lit(False)).alias(leg) for leg, x in legs.items()])
     reason = (
-        F.when((F.col("listed") == 1) | (F.col("vendor_path") == 1) | foreign, "vendored")
-        .when((F.col("tool_header") == 1) | (F.col("tool_path") == 1), "generated")
-        .when(data, "data").when(mangled, "minified").when(tables, "generated")
+        F.when(F.col("list") | F.col("place") | F.col("owner") | F.col("style"), "vendored").when(F.col("tool") | F.col("name"), "generated")
+        .when(F.col("nameless"), "data").when(F.col("entropy"), "minified").when(F.col("diversity"), "generated")
     )
-    return f.select("file_id", reason.alias("reason"))
+    return f.select("file_id", reason.alias("reason"), F.concat_ws(",", *[F.when(F.col(leg), leg) for leg in legs]).alias("evidence"))
 
 
 def not_handwritten(judged: DataFrame) -> DataFrame:

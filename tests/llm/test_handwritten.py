@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.llm import handwritten as H
 
@@ -38,13 +39,13 @@ def judged(spark):
 
 
 def test_reasons(judged, rows):
-    assert dict(rows(H.judged_files(*judged))) == {k: r for k, (_, _, r) in FILES.items()} | {"nopath": None}
+    assert dict(rows(H.judged_files(*judged), "file_id", "reason")) == {k: r for k, (_, _, r) in FILES.items()} | {"nopath": None}
 
 
 def test_two_chunks_are_one_file(judged, rows, spark):
     files, chunks, releases = judged
     more = chunks.unionByName(spark.createDataFrame([("second", "min", python(1, 40), "c")], chunks.schema))
-    assert dict(rows(H.judged_files(files, more, releases)))["min"] is None
+    assert dict(rows(H.judged_files(files, more, releases), "file_id", "reason"))["min"] is None
 
 
 def test_empty(judged):
@@ -55,7 +56,34 @@ def test_empty(judged):
 
 
 def test_quotes_and_late_comments_are_no_header():
-    assert H.header("# a\n\n# b\nx = 1\n# c") == ["# a", "# b"] and H.header("# " + "x" * 300) == []
+    assert H.header("# a\n\n# b\nx = 1\n# c") == ["# a", "# b"] and H.header("# " + "x" * 300) == ["# " + "x" * 300]
+
+
+def test_headers_of_any_length_and_form():
+    banner = "Code generated by x 3. DO NOT EDIT."
+    for text in ("# a licence\n" * 90 + f"# {banner}\nx = 1", f"/*\n a block\n {banner}\n*/\nint x;", f'\"\"\"Text.\n\n{banner}\n\"\"\"\nx = 1', f"package a.b;\n\n// {banner}\nclass A {{}}", f"<!--\n{banner}\n-->\n<a/>"):
+        assert any(H.TOOL_HEADER.search(x) for x in H.header(text)), text
+    assert H.header(f"x = 1\n/*\n{banner}\n*/") == [] and H.header('\"\"\"one line\"\"\"\nx = 1') == ["one line"]
+
+
+def test_legs_decide_without_paths_and_headers(judged, rows, monkeypatch):
+    """Mangled and template-like files are found by names alone, and only entropy finds the mangled one."""
+    files, chunks, releases = judged
+    bare = files.withColumn("path", F.lit(None).cast("string"))
+    got = {r.file_id: (r.reason, r.evidence) for r in H.judged_files(bare, chunks, releases.limit(0)).collect()}
+    assert got["min"] == ("minified", "entropy") and got["cases"] == ("generated", "diversity") and got["own"] == (None, "")
+    monkeypatch.setattr(H, "MANGLED_EXCESS", 1e9)
+    monkeypatch.setattr(H, "FOREIGN_EXCESS", 1e9)
+    assert {r.file_id: r.reason for r in H.judged_files(bare, chunks, releases.limit(0)).collect()}["min"] is None
+
+
+def test_foreign_style_decides_alone(judged, spark):
+    files, chunks, releases = judged
+    odd = "def xQz_wVk9(ZjX_qWw2):\n    kkQvZ_x7 = WxQ_zzJ4(vKq_XwZ1, qZZ_kXv3)\n    return write_packet(merge_window)\n"
+    f = files.unionByName(spark.createDataFrame([("g", "odd", "src/odd.py", None, None, "c", 1)], files.schema))
+    c = chunks.unionByName(spark.createDataFrame([("c_odd", "odd", odd, "c")], chunks.schema))
+    got = {r.file_id: (r.reason, r.evidence) for r in H.judged_files(f, c, releases).collect()}
+    assert got["odd"] == ("vendored", "style") and got["own"] == (None, "")
 
 
 def test_code_behind_a_comment_is_judged(judged, rows, spark):
@@ -66,7 +94,7 @@ def test_code_behind_a_comment_is_judged(judged, rows, spark):
     }
     f = files.unionByName(spark.createDataFrame([("g", k, f"src/{k}.js", None, None, "c", 1) for k in more], files.schema))
     c = chunks.unionByName(spark.createDataFrame([(f"c_{k}", k, t, "c") for k, (t, _) in more.items()], chunks.schema))
-    got = dict(rows(H.judged_files(f, c, releases)))
+    got = dict(rows(H.judged_files(f, c, releases), "file_id", "reason"))
     assert {k: got[k] for k in more} == {k: r for k, (_, r) in more.items()}
 
 
