@@ -51,8 +51,6 @@ UNUSUAL_EXCESS = 0.3
 LOW_DIVERSITY, NAMED_SHARE = 0.06, 0.1
 #: Letters of names a text needs before its names are judged.
 LEAST_NAMES = 12
-#: Different names that a worker holds before it counts their trigrams.
-MOST_NAMES = 200_000
 #: What tells a language by its syntax.
 SYNTAX = {
     "rust": ("fn ", "let mut ", "::", "&mut ", "impl "),
@@ -106,7 +104,6 @@ COUNTS = "language string, gram int, n long"
 READ = (
     "file_id string, chunk_id string, h1 long, h2 long, language string, distinct_names string, counts binary, names long, letters long, distinct long, "
     "chars long, named long, lines long, tool_header int, owner_header int, owner_hint int")
-BITS = "file_id string, language string, bits double, usual double"
 
 
 def language_of(text: str) -> str:
@@ -156,13 +153,24 @@ def code_of(text: str) -> str:
     return _STRING.sub('""', code) if '"' in code or "'" in code else code
 
 
-def grams(name: str) -> np.ndarray:
-    """Numbers of the trigrams of a name with its ends marked."""
-    b = np.frombuffer(name.encode("ascii", "replace"), np.uint8)
-    s = np.empty(len(b) + 3, np.int64)
-    s[:2], s[-1] = _AT["^"], _AT["$"]
-    s[2:-1] = _SYMBOL[b & 127]
-    return (s[:-2] * _SIZE + s[1:-1]) * _SIZE + s[2:]
+def grams_of(texts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, weight, row) of the trigrams of all names in texts read by :func:`read_texts`.
+
+    A name stands between two marks of its beginning and one of its end.
+    """
+    counts = [np.frombuffer(c, np.int32) for c in texts["counts"]]
+    size = np.array([len(c) for c in counts], np.int64)
+    if not size.sum():
+        return (np.zeros(0, np.int64),) * 3
+    joined = "\n".join(n for n, k in zip(texts.distinct_names, size) if k) + "\n"
+    b = np.frombuffer(joined.encode("ascii", "replace"), np.uint8)
+    end = b == 10
+    s = np.where(end, _AT["$"], _SYMBOL[b & 127])
+    first = np.r_[True, end[:-1]]
+    before, second = np.r_[0, s[:-1]], np.r_[0, 0, s[:-2]]
+    before[first] = second[first] = second[1:][first[:-1]] = _AT["^"]
+    name = np.cumsum(first) - 1
+    return (second * _SIZE + before) * _SIZE + s, np.concatenate(counts)[name], np.repeat(np.arange(len(texts)), size)[name]
 
 
 class Names:
@@ -176,56 +184,37 @@ class Names:
             p = table / table.sum(1, keepdims=True)
             self.bits[language] = -np.log2(p).ravel()
             self.usual[language] = float((n.reshape(-1) * self.bits[language]).sum() / max(1, n.sum()))
-        self.memo: dict[tuple[str, str], float] = {}
-
-    def cost(self, language: str, name: str) -> float:
-        key = (language, name)
-        out = self.memo.get(key)
-        if out is None:
-            if len(self.memo) > 500_000:
-                self.memo.clear()
-            out = self.memo[key] = float(self.bits[self.known(language)][grams(name)].sum())
-        return out
 
     def known(self, language: str) -> str:
         """The language, or "" for the model of all where it is not told apart or has no model."""
         return language if language != "other" and language in self.bits else ""
 
-    def cost_of(self, language: str, names: list[str], counts: np.ndarray) -> float:
-        return sum(self.cost(language, w) * n for w, n in zip(names, counts.tolist()))
-
+    def costs(self, texts: pd.DataFrame) -> np.ndarray:
+        """Bits of the names of each text by the model of its language."""
+        gram, weight, row = grams_of(texts)
+        model = texts.language.map(self.known).to_numpy()
+        out = np.zeros(len(texts))
+        for language in set(model):
+            own = model[row] == language
+            out += np.bincount(row[own], self.bits[language][gram[own]] * weight[own], len(texts))
+        return out
 
-def _names_of(row) -> tuple[list[str], np.ndarray]:
-    return row.distinct_names.split("\n") if row.distinct_names else [], np.frombuffer(row.counts, np.int32)
+    def expected(self, texts: pd.DataFrame) -> np.ndarray:
+        """Bits that so many letters usually take."""
+        return texts.language.map(lambda x: self.usual[self.known(x)]).to_numpy(np.float64) * texts.letters.to_numpy()
 
 
 def _counting(usual: Names | None):
-    """Trigram counts of a partition by language, without texts that ``usual`` finds unusual; each name is divided once."""
+    """Trigram counts of a partition by language, without texts that ``usual`` finds unusual."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
-        names: dict[str, Counter] = {}
-
-        def settle() -> None:
-            for language, counter in names.items():
-                if counter:
-                    g = [grams(n) for n in counter]
-                    weight = np.repeat(np.fromiter(counter.values(), np.float64, len(counter)), [len(x) for x in g])
-                    counts = np.bincount(np.concatenate(g), weight, _SIZE**3).astype(np.int64)
-                    total[language] = total.get(language, 0) + counts
-            names.clear()
-
         for f in frames:
-            for r in f.itertuples():
-                words, counts = _names_of(r)
-                if usual and words and usual.cost_of(r.language, words, counts) > (usual.usual[usual.known(r.language)] + UNUSUAL_EXCESS) * r.letters:
-                    continue
-                counter = names.setdefault(r.language, Counter())
-                for w, n in zip(words, counts.tolist()):
-                    counter[w] += n
-            if sum(map(len, names.values())) > MOST_NAMES:
-                settle()
-        settle()
+            if usual and len(f):
+                f = f[usual.costs(f) <= usual.expected(f) + UNUSUAL_EXCESS * f.letters.to_numpy()]
+            for language, own in f.groupby("language"):
+                gram, weight, _ = grams_of(own)
+                total[language] = total.get(language, 0) + np.bincount(gram, weight, _SIZE**3).astype(np.int64)
         for language, table in total.items():
             at = np.flatnonzero(table)
             yield pd.DataFrame({"language": language, "gram": at.astype(np.int32), "n": table[at]})
@@ -333,25 +322,15 @@ def read_texts(chunks: DataFrame) -> DataFrame:
     return read.groupBy("file_id", "chunk_id").agg(F.min(F.struct(*rest)).alias("r")).select("file_id", "chunk_id", *[f"r.{c}" for c in rest])
 
 
-def _measuring(names: Names):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = [(r.file_id, r.language, names.cost_of(r.language, *_names_of(r)), names.usual[names.known(r.language)] * r.letters) for r in f.itertuples()]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in BITS.split(", ")])
-
-    return run
-
-
 def text_facts(texts: DataFrame, names: Names) -> DataFrame:
     """One row of numbers for each file: sums over its chunks, each by the model of its own language."""
     numbers = ("names", "letters", "distinct", "chars", "named", "lines")
     flags = ("tool_header", "owner_header", "owner_hint")
-    schema = BITS + ", " + ", ".join(f"{c} long" for c in numbers) + ", " + ", ".join(f"{c} int" for c in flags)
+    schema = "file_id string, bits double, usual double, " + ", ".join(f"{c} long" for c in numbers) + ", " + ", ".join(f"{c} int" for c in flags)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            bits = next(_measuring(names)(iter([f])))
-            yield pd.concat([bits, f[[*numbers, *flags]].reset_index(drop=True)], axis=1)
+            yield f[["file_id", *numbers, *flags]].assign(bits=names.costs(f), usual=names.expected(f))
 
     return texts.drop("h1", "h2", "chunk_id").mapInPandas(run, schema).groupBy("file_id").agg(*(F.sum(c).alias(c) for c in ("bits", "usual", *numbers)), *(F.max(c).alias(c) for c in flags))
 
