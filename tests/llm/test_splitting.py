@@ -9,13 +9,14 @@ from spindrift.llm import splitting as S
 ROW = "chunk_id string, text string, start_line int, end_line int, item string, version long"
 
 
-def planned(body: bytes, limit: int, overlap: int, width: int):
-    p = S.Planner(len(body), 1, limit, overlap)
+def planned(body: bytes, limit: int, overlap: int, width: int, thin: bool = True):
+    p = S.Planner(len(body), limit, overlap)
     out = []
     for begin in range(0, len(body), width):
         until = min(len(body), begin + width)
         origin = max(0, begin - S.LEFT_HALO)
-        out += p.feed(*S.boundaries(body[origin : until + limit + 8], origin, begin, until), until)
+        found = S.boundaries(body[origin : until + limit + 8], origin, begin, until)
+        out += p.feed(*(S.needed(*found, limit) if thin else found), until)
     return out
 
 
@@ -24,10 +25,19 @@ def planned(body: bytes, limit: int, overlap: int, width: int):
 def test_plan_covers_and_does_not_depend_on_ranges(text, limit, overlap, width):
     b = text.encode()
     out = planned(b, limit, overlap, width)
-    assert out == planned(b, limit, overlap, 1 << 20)
+    assert out == planned(b, limit, overlap, 1 << 20) == planned(b, limit, overlap, 1 << 20, thin=False)
     assert out[0][1] == 0 and out[-1][2] == len(b)
-    for (_, _, end, _, _, _), (_, start, _, shared, first, _) in zip(out, out[1:]):
-        assert start == end - shared and shared <= overlap + 3 and first == 1 + b[:start].count(b"\n")
+    for (_, _, end, _), (_, start, _, shared) in zip(out, out[1:]):
+        assert start == end - shared and shared <= overlap + 3
+
+
+def test_boundaries_sent_are_a_few_per_cent():
+    code = "".join(f"def f{i}(a, b):\n    x = a.b(c, {i}); y = x + 1\n    return x.z if y else b\n\n" for i in range(9000)).encode()
+    prose = ("Some words of a sentence, one after the other. " * 40 + "\n") .encode() * 300
+    for text in (code, prose):
+        offsets, classes = S.boundaries(text, 0, 0, len(text))
+        kept = S.needed(offsets, classes, S.LIMIT)
+        assert 5 * len(kept[0]) < 0.08 * len(text) and 5 * len(offsets) > 0.3 * len(text)
 
 
 def check(pieces, texts, limit, overlap):
