@@ -9,7 +9,10 @@ for character, in a record with another id. The operator finds all of them:
    each stretch of ``length`` characters keeps at least one anchor. Spark counts
    in how many texts an anchor occurs.
 2. Only where an anchor repeats, the windows of ``length`` characters around it
-   are hashed and compared between the texts that have the anchor.
+   are hashed and compared between the texts that have the anchor. Windows with
+   equal hashes are then compared character by character; those of an anchor
+   that occurs very often stream by and are told apart by a cryptographic hash
+   of 128 bits instead.
 3. Repeated windows merge into maximal stretches.
 
 Step 1 drops nothing: a shared window of ``length`` characters contains the same
@@ -18,6 +21,7 @@ anchors in both texts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +37,11 @@ GRAM = 48
 #: Anchors with more occurrences are resolved window by window, in a stream.
 HOT = 20_000
 SLICE = 1 << 20
+#: Windows whose characters are compared at a time.
+COMPARED = 1 << 14
 
 ANCHORS = "fp long, h1 long, h2 long, pos int"
-NEAR = "g long, rid long, h1 long, h2 long, start int, context string"
+NEAR = "g long, g2 long, rid long, h1 long, h2 long, start int, context string"
 SPANS = "h1 long, h2 long, span_start int, span_end int"
 
 
@@ -74,30 +80,41 @@ def _surroundings(length: int, gram: int):
     reach = length - gram
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = Roller(length)
         for f in frames:
             out: dict[str, list] = {c.split()[0]: [] for c in NEAR.split(", ")}
 
-            def add(g, r, start, context):
-                for c, v in zip(out, (g, r.rid, r.h1, r.h2, start, context)):
+            def add(g, g2, r, start, context):
+                for c, v in zip(out, (g, g2, r.rid, r.h1, r.h2, start, context)):
                     out[c].append(v)
 
             for r in f.itertuples():
                 for fp, pos, hot in zip(r.fps, r.places, r.hots):
                     start = max(0, pos - reach)
-                    context = r.text[start : pos + length]
+                    context = r.body[start - r.origin : pos + length - r.origin]
                     if len(context) < length:
                         continue
                     if not hot:
-                        add(fp, r, start, context)
+                        add(fp, 0, r, start, context)
                     else:
-                        for j, h in enumerate(whole.windows(codes_of(context)).view(np.int64)):
-                            add(h, r, start + j, "")
+                        raw = codes_of(context).tobytes()
+                        for j in range(len(context) - length + 1):
+                            digest = hashlib.blake2b(raw[4 * j : 4 * (j + length)], digest_size=16).digest()
+                            add(int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), r, start + j, "")
             yield pd.DataFrame(out)
 
     return run
 
 
+def same_characters(windows: np.ndarray, row: np.ndarray, col: np.ndarray, fresh: np.ndarray) -> bool:
+    """Whether each window that does not begin a group equals the one before it, character for character."""
+    next_ = np.flatnonzero(~fresh)
+    for i in range(0, len(next_), COMPARED):
+        a = next_[i : i + COMPARED]
+        if not np.array_equal(windows[row[a], col[a]], windows[row[a - 1], col[a - 1]]):
+            return False
+    return True
+
+
 def shared_windows(contexts: list[str], rids: np.ndarray, length: int, roller: Roller) -> tuple[np.ndarray, np.ndarray]:
     """First and last shared window of each context, -1 where there is none."""
     most = max(map(len, contexts))
@@ -108,7 +125,18 @@ def shared_windows(contexts: list[str], rids: np.ndarray, length: int, roller: R
     flat = h[valid]
     rid = np.broadcast_to(rids[:, None], h.shape)[valid]
     order = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
+    fresh = np.r_[True, np.diff(flat[order]) != 0]
+    windows = np.lib.stride_tricks.sliding_window_view(codes, length, axis=1)
+    row, col = (x[order] for x in np.nonzero(valid))
+    if not same_characters(windows, row, col, fresh):
+        # Different windows with one hash: number them by their characters.
+        text = [windows[i, j].tobytes() for i, j in zip(row, col)]
+        number = {t: i for i, t in enumerate(dict.fromkeys(text))}
+        again = np.argsort(np.array([number[t] for t in text]), kind="stable")
+        order, row, col = order[again], row[again], col[again]
+        at = np.array([number[text[i]] for i in again])
+        fresh = np.r_[True, np.diff(at) != 0]
+    first = np.flatnonzero(fresh)
     several = np.minimum.reduceat(rid[order], first) != np.maximum.reduceat(rid[order], first)
     shared = np.zeros(len(flat), bool)
     shared[order] = np.repeat(several, np.diff(np.r_[first, len(flat)]))
@@ -143,7 +171,7 @@ def _resolve(length: int):
             hot = f[f.context == ""]
             if len(hot):
                 done = []
-                for g, part in hot.groupby("g", sort=False):
+                for g, part in hot.groupby(["g", "g2"], sort=False):
                     if g != group:
                         held, group, owner, open_ = [], g, part.rid.iloc[0], False
                     open_ = open_ or bool((part.rid != owner).any())
@@ -209,18 +237,44 @@ def shared_spans(records: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
         .filter("(a1 <> b1 OR a2 <> b2) AND far >= 0")
         .select("fp", (F.col("n") > hot).alias("hot"))
     )
+    # A row of places and of text reaches over one slice, however long its text.
     places = (
-        anchors.join(repeated, "fp")
-        .groupBy("h1", "h2").agg(F.collect_list(F.struct("fp", "pos", "hot")).alias("a"))
-        .select("h1", "h2", F.col("a.fp").alias("fps"), F.col("a.pos").alias("places"), F.col("a.hot").alias("hots"))
+        anchors.join(repeated, "fp").withColumn("slice", F.expr(f"pos div {SLICE}")).repartition(parts, "h1", "h2")
+        .groupBy("h1", "h2", "slice").agg(F.collect_list(F.struct("fp", "pos", "hot")).alias("a"))
+        .select("h1", "h2", "slice", F.col("a.fp").alias("fps"), F.col("a.pos").alias("places"), F.col("a.hot").alias("hots"))
     )
-    near = classes.join(places, ["h1", "h2"]).select("rid", "h1", "h2", "text", "fps", "places", "hots", "copied").mapInPandas(_surroundings(length, gram), NEAR)
-    pieces = near.repartition(parts, "g").sortWithinPartitions("g").mapInPandas(_resolve(length), SPANS)
+    origin = F.greatest(F.lit(0).cast("long"), F.col("slice") * SLICE - length)
+    sliced = classes.join(places, ["h1", "h2"]).withColumn("origin", origin).select(
+        "rid", "h1", "h2", F.when(F.length("text") > SLICE, F.expr(f"substring(text, int(origin + 1), {SLICE + 2 * length})")).otherwise(F.col("text")).alias("body"),
+        F.when(F.length("text") > SLICE, F.col("origin")).otherwise(0).alias("origin"), "fps", "places", "hots")
+    near = sliced.mapInPandas(_surroundings(length, gram), NEAR)
+    pieces = near.repartition(parts, "g").sortWithinPartitions("g", "g2").mapInPandas(_resolve(length), SPANS)
     whole = classes.filter("copied").select("h1", "h2", F.lit(0).alias("span_start"), F.length("text").alias("span_end"))
     owners = texts.select("record_id", "h1", "h2").distinct()
     return merge_spans(pieces.unionByName(whole)).join(owners, ["h1", "h2"]).select("record_id", "span_start", "span_end").distinct()
 
 
+def counted_spans(records: DataFrame, length: int = LENGTH) -> DataFrame:
+    """What :func:`shared_spans` gives, by the plain path: the hash of every window, counted.
+
+    Moves 40 bytes for every character, so it serves to check results on tables
+    that allow this.
+    """
+    texts = records.select("record_id", "text").filter(F.length("text") >= length).distinct().withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text")})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        roller = Roller(length)
+        for f in frames:
+            for r in f.itertuples():
+                h = roller.windows(codes_of(r.text)).view(np.int64)
+                yield pd.DataFrame({"g": h, "record_id": r.record_id, "h1": r.h1, "h2": r.h2, "span_start": np.arange(len(h), dtype=np.int32)})
+
+    windows = texts.mapInPandas(run, "g long, record_id string, h1 long, h2 long, span_start int")
+    repeated = windows.groupBy("g").agg(F.min("record_id").alias("lo"), F.max("record_id").alias("hi")).filter("lo <> hi").select("g")
+    pieces = windows.join(repeated, "g").select("h1", "h2", "span_start", (F.col("span_start") + length).alias("span_end"))
+    return merge_spans(pieces).join(texts.select("record_id", "h1", "h2"), ["h1", "h2"]).select("record_id", "span_start", "span_end").distinct()
+
+
 def merge_spans(pieces: DataFrame) -> DataFrame:
     """Maximal stretches of each text from pieces that may overlap or touch."""
     w = Window.partitionBy("h1", "h2").orderBy("span_start", "span_end")

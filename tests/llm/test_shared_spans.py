@@ -56,6 +56,34 @@ def test_against_brute_force(spark, records, rows, hot):
     assert ("self", 0, 60) in want and ("runs", 0, 200) in want and not any(w[0] == "e59" for w in want)
 
 
+def test_plain_path_gives_the_same(spark, records, rows):
+    df = frame(spark, records)
+    assert rows(S.counted_spans(df, 60)) == rows(S.shared_spans(df, length=60, gram=20)) == rows(S.shared_spans(df, length=60, gram=20, hot=3))
+
+
+def test_equal_hashes_of_different_windows_are_told_apart():
+    import numpy as np
+
+    class Same(rolling.Roller):
+        def windows(self, codes):
+            return np.ones_like(super().windows(codes))  # every window collides
+
+    got = S.shared_windows(["abcdefgh", "xxcdefgx", "qqqqqqqq"], np.array([1, 2, 3]), 4, Same(4))
+    assert [x.tolist() for x in got] == [x.tolist() for x in S.shared_windows(["abcdefgh", "xxcdefgx", "qqqqqqqq"], np.array([1, 2, 3]), 4, rolling.Roller(4))] == [[2, 2, -1], [3, 3, -1]]
+
+
+def test_text_longer_than_a_slice(spark, rows):
+    rng = random.Random(3)
+    part = "".join(rng.choice("abcdefgh") for _ in range(300))
+    filler = "".join(rng.choice("ijklmnop") for _ in range(S.SLICE))
+    places = (10, S.SLICE - 150, S.SLICE + 5000)
+    text = list(filler + filler[:9000][::-1])
+    for p in places:
+        text[p : p + 300] = part
+    got = rows(S.shared_spans(frame(spark, [("long", "".join(text)), ("short", "q" * 7 + part)])))
+    assert set(got) == {("long", p, p + 300) for p in places} | {("short", 7, 307)}
+
+
 def test_report_and_empty(spark, records):
     df = frame(spark, records)
     got = {r.record_id: r for r in S.shared_report(df, S.shared_spans(df, length=60, gram=20)).collect()}
