@@ -20,6 +20,15 @@ def p2_pieces(spark, d):
     return _pieces(spark, d)
 
 
+def p2_check(spark, d):
+    """Every text put together again from its pieces without what they repeat."""
+    rest = F.expr("substring(encode(text, 'UTF-8'), overlap_bytes + 1)")
+    pieces = _pieces(spark, d).withColumn("rest", rest)
+    return pieces.groupBy(F.col("item").alias("chunk_id"), "version").agg(
+        F.max("end_byte").alias("n_bytes"), F.max(F.octet_length("text") > splitting.LIMIT).alias("too_long"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "rest"))), lambda x: F.hex(x["rest"])), "")).alias("hex_md5")).drop("version")
+
+
 def p2_report(spark, d):
     return splitting.split_report(_pieces(spark, d))
 
@@ -52,7 +61,7 @@ def p6_reasons(spark, d):
 QUERIES = {
     "p6_found": p6_found, "p6_reasons": p6_reasons,
     "p5_found": p5_found, "p5_report": p5_report,
-    "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_report": p2_report}
+    "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_check": p2_check, "p2_report": p2_report}
 
 _SHARED = """
 r AS (SELECT chunk_id AS id, text AS t FROM chunks WHERE text IS NOT NULL UNION SELECT entity_id, body FROM lexical_docs WHERE body IS NOT NULL),
@@ -68,4 +77,5 @@ SQL = {
     "p5_found": f"WITH {_SHARED} SELECT * FROM f",
     "p5_report": f"""WITH {_SHARED} SELECT r.id AS record_id, max(length(r.t)) AS n_chars, coalesce(max(a.n), 0) AS n_spans, coalesce(max(a.c), 0) AS shared_chars
       FROM r LEFT JOIN (SELECT record_id, count(*) AS n, sum(span_end - span_start) AS c FROM f GROUP BY 1) a ON a.record_id = r.id GROUP BY 1""",
+    "p2_check": "SELECT DISTINCT chunk_id, octet_length(encode(text)) AS n_bytes, false AS too_long, md5(hex(encode(text))) AS hex_md5 FROM chunks WHERE octet_length(encode(text)) > 8192",
     "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE octet_length(encode(text)) > 8192"}
