@@ -11,12 +11,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import exact_lines, language_with_overrides
+from spindrift.functions.text import exact_lines, language_with_overrides, query_terms
 from spindrift.operators import claims as claim_ops
 from spindrift.operators import exact, federation, flat_vectors, fusion, graph, lexical, packet, resolve, validation
 from spindrift.sources import checkout, ingest, notes
 from spindrift.tables import broadcast_if_small, cut
-from spindrift.sources.store import Config, Generations, Traces, union_all
+from spindrift.sources.store import Config, Generations, Traces, replaced, union_all
 
 REQUESTS = (
     "query_id string, query string, budget int, max_results int, f_repository string, f_revision string, f_path_prefix string, f_language string, f_kinds array<string>")
@@ -51,16 +51,18 @@ def requests_frame(spark: SparkSession, requests: list[Request]) -> DataFrame:
 SCOPE = ("generation_id",)
 
 
-def candidate_pools(requests: DataFrame, docs: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+def candidate_pools(requests: DataFrame, docs: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, vectors: DataFrame | None = None,
+                    index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """All pools of all requests: query_id, generation_id, pool, entity_id, rank.
 
     ``docs`` and the graph carry generation_id. ``vectors`` are hits of an
-    embedded query: query_id, generation_id, entity_id, cosine.
+    embedded query: query_id, generation_id, entity_id, cosine. ``index``: see
+    :func:`spindrift.operators.lexical.bm25`.
     """
     queries = requests.select("query_id", "query")
     by_id = [F.asc("entity_id")]
     first = [
-        fusion.pool("lexical", lexical.bm25(docs, queries, scope=SCOPE), [F.desc("score"), F.asc("rank")], SCOPE),
+        fusion.pool("lexical", lexical.bm25(docs, queries, scope=SCOPE, index=index), [F.desc("score"), F.asc("rank")], SCOPE),
         fusion.pool("exact_path", exact.path_pool(docs, queries, SCOPE), by_id, SCOPE),
         fusion.pool("exact_symbol", exact.symbol_pool(docs, queries, SCOPE), by_id, SCOPE),
         fusion.pool("exact_identifier", exact.identifier_pool(docs, queries, SCOPE), by_id, SCOPE),
@@ -77,7 +79,7 @@ def candidate_pools(requests: DataFrame, docs: DataFrame, files: DataFrame, symb
 
 
 def search_each(requests: DataFrame, generations: DataFrame, docs: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, resolved: DataFrame,
-                vectors: DataFrame | None = None, on_overflow: str = "error") -> DataFrame:
+                vectors: DataFrame | None = None, on_overflow: str = "error", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One packet for each request and generation, as :func:`search` gives it for that generation alone.
 
     ``generations``: the generation_ids to search; all other frames carry
@@ -87,7 +89,7 @@ def search_each(requests: DataFrame, generations: DataFrame, docs: DataFrame, fi
     :data:`spindrift.operators.packet.PACKETS` and generation_id.
     """
     key = [*SCOPE, "entity_id"]
-    pools = fusion.bounded(candidate_pools(requests, docs, files, symbols, edges, vectors), on_overflow=on_overflow, scope=SCOPE)
+    pools = fusion.bounded(candidate_pools(requests, docs, files, symbols, edges, vectors, index), on_overflow=on_overflow, scope=SCOPE)
     described = resolved.select(*key, *resolve.AGREEING)
     ranked = fusion.fuse(pools, described, SCOPE)
     indexed = docs.select(*key, *resolve.AGREEING)
@@ -99,10 +101,11 @@ def search_each(requests: DataFrame, generations: DataFrame, docs: DataFrame, fi
 
 
 def search(requests: DataFrame, docs: DataFrame, files: DataFrame, symbols: DataFrame, chunks: DataFrame, edges: DataFrame, vectors: DataFrame | None = None,
-           on_overflow: str = "error") -> DataFrame:
+           on_overflow: str = "error", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One packet for each request; see :data:`spindrift.operators.packet.PACKETS`.
 
-    All frames are of one generation, whatever it is called.
+    All frames are of one generation, whatever it is called; ``index`` are the
+    tables of :func:`spindrift.operators.lexical.stored_index`.
     """
 
     def one(df: DataFrame) -> DataFrame:
@@ -111,7 +114,8 @@ def search(requests: DataFrame, docs: DataFrame, files: DataFrame, symbols: Data
     docs, files, symbols, chunks = cut(lexical.distinct_documents(one(docs), SCOPE)), one(files), one(symbols), one(chunks)
     generations = requests.sparkSession.createDataFrame([("current",)], "generation_id string")
     resolved = cut(resolve.resolved_entities(files, symbols, chunks))
-    return search_each(requests, generations, docs, files, symbols, one(edges), resolved, None if vectors is None else one(vectors), on_overflow).drop("generation_id")
+    return search_each(requests, generations, docs, files, symbols, one(edges), resolved, None if vectors is None else one(vectors), on_overflow,
+                       index and (one(index[0]), one(index[1]))).drop("generation_id")
 
 
 class Engine:
@@ -133,6 +137,7 @@ class Engine:
         tables["diagnostics"] = tables["diagnostics"].unionByName(ingest.snapshot_diagnostics(scanned, generation_id)).distinct()
         tables["files"] = rows
         tables["lexical_docs"] = ingest.lexical_documents(with_text, tables["chunks"], tables["symbols"])
+        tables |= lexical.stored_index(tables["lexical_docs"])
         tables["texts"] = with_text.select("path", "revision", F.col("repository_id").alias("repository"), "content")
         generation = self.spark.createDataFrame([(generation_id,)], "generation_id string")
         violations = validation.foreign_keys(generation, rows, tables["symbols"], tables["chunks"], tables["edges"])
@@ -143,10 +148,15 @@ class Engine:
     def table(self, name: str) -> DataFrame:
         return self.generations.read(self.spark, name)
 
+    def index_of(self, requests: tuple[Request, ...]) -> tuple[DataFrame, DataFrame]:
+        """Stored postings of the requests' terms, which the reader finds by their order, and the statistics."""
+        asked = requests_frame(self.spark, list(requests)).select(F.explode(query_terms(F.col("query"))).alias("term")).distinct().collect()
+        return self.table("postings").filter(F.col("term").isin([r.term for r in asked])), self.table("lexical_stats")
+
     def search(self, *requests: Request, vectors: DataFrame | None = None, on_overflow: str = "error", trace: bool = True) -> list[dict]:
         """Packets of the requests, in their order, each with what was left out."""
         t = {n: self.table(n) for n in ("lexical_docs", "files", "symbols", "chunks", "edges")}
-        found = search(requests_frame(self.spark, list(requests)), t["lexical_docs"], t["files"], t["symbols"], t["chunks"], t["edges"], vectors, on_overflow)
+        found = search(requests_frame(self.spark, list(requests)), t["lexical_docs"], t["files"], t["symbols"], t["chunks"], t["edges"], vectors, on_overflow, self.index_of(requests))
         by_id = {r.query_id: r.asDict(recursive=True) for r in found.collect()}
         out = [by_id[r.query_id] for r in requests]
         if trace:
@@ -199,8 +209,7 @@ class Engine:
         if reason:
             raise ValueError(reason)
         new = note.with_patch(claim_id, body, status, review)
-        with open(note_path, "wb") as f:
-            f.write(new)
+        replaced(note_path, new)
         return queue.filter(~((F.col("note_path") == note_path) & (F.col("claim_id") == claim_id)))
 
 

@@ -26,10 +26,21 @@ def distinct_documents(docs: DataFrame, scope: tuple[str, ...] = ()) -> DataFram
     return one_row(docs.filter("entity_id IS NOT NULL"), *scope, "entity_id")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(entity_id, term, tf, n_terms) of distinct documents; a null body has no terms."""
-    t = docs.select("entity_id", tokens(F.coalesce("body", F.lit(""))).alias("t"))
-    return t.select("entity_id", F.size("t").alias("n_terms"), F.explode("t").alias("term")).groupBy("entity_id", "term", "n_terms").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(scope, term, entity_id, path, kind, tf, n_terms) of distinct documents; a null body has no terms."""
+    t = docs.select(*scope, "entity_id", "path", "kind", tokens(F.coalesce("body", F.lit(""))).alias("t"))
+    words = t.select(*scope, "entity_id", "path", "kind", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
+    return words.groupBy(*scope, "entity_id", "path", "kind", "n_terms", "term").agg(F.count("*").alias("tf"))
+
+
+def stored_index(docs: DataFrame) -> dict[str, DataFrame]:
+    """Tables of an inverted index to be written: postings in the order of terms, and collection statistics.
+
+    Files and row groups then cover ranges of terms, so that a search reads
+    those of its terms only.
+    """
+    d = distinct_documents(docs)
+    return {"postings": postings(d).repartitionByRange("term").sortWithinPartitions("term"), "lexical_stats": collection_stats(d)}
 
 
 def collection_stats(docs: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -44,24 +55,29 @@ def token_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, limit: int = SOURCE_LIMIT, scope: tuple[str, ...] = ()) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, limit: int = SOURCE_LIMIT, scope: tuple[str, ...] = (), index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Best documents of each query by BM25 over any of its terms.
 
     Result: query_id, scope, entity_id, score, rank (from 1). Equal scores are ordered
     by path, kind and id, null paths first. Query terms reach the postings
-    before any shuffle: only matching terms are counted.
+    before any shuffle: only matching terms are counted. With ``index``, the
+    :func:`postings` and :func:`collection_stats` of the same documents, no text
+    is read.
     """
     terms = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term"))
     # Neither the wanted terms nor their frequencies outnumber the query terms.
     near = F.broadcast if is_small(terms) else lambda df: df
     wanted = near(terms.select("term").distinct())
-    d = docs.select(*scope, "entity_id", "path", "kind", tokens(F.coalesce("body", F.lit(""))).alias("t"))
-    hits = (
-        d.select(*scope, "entity_id", "path", "kind", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
-        .join(wanted, "term")
-        .groupBy(*scope, "entity_id", "path", "kind", "n_terms", "term").agg(F.count("*").alias("tf"))
-    )
-    stats = collection_stats(docs, scope)
+    if index:
+        hits, stats = index[0].join(wanted, "term"), index[1]
+    else:
+        d = docs.select(*scope, "entity_id", "path", "kind", tokens(F.coalesce("body", F.lit(""))).alias("t"))
+        hits = (
+            d.select(*scope, "entity_id", "path", "kind", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
+            .join(wanted, "term")
+            .groupBy(*scope, "entity_id", "path", "kind", "n_terms", "term").agg(F.count("*").alias("tf"))
+        )
+        stats = collection_stats(docs, scope)
     if scope:  # of many collections there may be too many rows to broadcast
         counted = hits.withColumn("df", F.count("*").over(Window.partitionBy(*scope, "term"))).join(stats, list(scope))
     else:  # a single row

@@ -35,6 +35,16 @@ def bm25_topk(spark, d):
     return lexical.bm25(_docs(spark, d), _asked(spark))
 
 
+def postings(spark, d):
+    return lexical.postings(_docs(spark, d)).select("entity_id", "term", "tf", "n_terms")
+
+
+def bm25_indexed(spark, d):
+    """As bm25_topk, from the tables of an inverted index."""
+    index = lexical.stored_index(table(spark, d, "lexical_docs"))
+    return lexical.bm25(_docs(spark, d), _asked(spark), index=(index["postings"], index["lexical_stats"]))
+
+
 def exact_pools(spark, d):
     docs, q = _docs(spark, d), _asked(spark)
     out = exact.path_pool(docs, q).withColumn("pool", F.lit("exact_path"))
@@ -134,10 +144,20 @@ def cosine_topk(spark, d):
     return flat_vectors.top_k(e, asked, 10).select("query_id", "entity_id", "rank", F.round("cosine", 6).alias("cosine"))
 
 
+#: Statements of which the first two pairs contradict and the last does not, as (item_id, text).
+STATEMENTS = (
+    (-1, "Parallel compaction of the ledger is enabled in every region."), (-2, "Parallel compaction of the ledger is disabled in every region."),
+    (-3, "The archive must keep old tickets for a year."), (-4, "The archive must not keep old tickets for a year."),
+    (-5, "Each queue must drain slowly."), (-6, "Each parser must not drain memory."), (-7, None), (-8, ""),
+)
+
+
 def contradictory_pairs(spark, d):
+    """Opposing texts among the test items of a suite, and among a few statements."""
     from pyspark.sql import Window
 
-    items = table(spark, d, "eval_items")
+    statements = spark.createDataFrame(list(STATEMENTS), "item_id long, text string").withColumn("suite", F.lit("statements"))
+    items = table(spark, d, "eval_items").select("item_id", "text", "suite").unionByName(statements)
     items = items.select(F.col("suite").alias("query_id"), F.row_number().over(Window.partitionBy("suite").orderBy("item_id")).alias("position"), F.col("text").alias("content"))
     return contradiction.contradictions(items)
 
@@ -220,7 +240,7 @@ _ENCLOSING = """en AS (SELECT s.generation_id, s.symbol_id, arg_min(c.chunk_id,
 
 QUERIES = {
     f.__name__: f for f in (
-        token_stats, bm25_topk, exact_pools, exact_names, rrf_fusion, candidate_bound, first_paths, federated_merge, ranking_quality, graph_two_hop, edges_by_kind,
+        token_stats, postings, bm25_topk, bm25_indexed, exact_pools, exact_names, rrf_fusion, candidate_bound, first_paths, federated_merge, ranking_quality, graph_two_hop, edges_by_kind,
         enclosing_range_join, resolved_entities, entity_totals, omission_reasons, vector_targets, cosine_topk, contradictory_pairs, assertions, query_parts, line_excerpts, path_languages, framed_ids, search_packets)
 }
 
@@ -231,10 +251,14 @@ _STATES = """(list_has_any(w, ['enabled', 'true']) OR len(list_filter(range(1, l
 _DENIES = """(list_has_any(w, ['disabled', 'false']) OR len(list_filter(range(1, len(w) + 1), lambda i: (w[i] IN ('support', 'supports') AND i > 1 AND w[i - 1] = 'not')
   OR (w[i] = 'must' AND i < len(w) AND w[i + 1] = 'not'))) > 0)"""
 
+_STATEMENTS = ", ".join(f"({i}, {'NULL' if t is None else repr(t) if t else chr(39) * 2})" for i, t in STATEMENTS)
+
 SQL = {
     "token_stats": f"""WITH t AS (SELECT rowid AS i, unnest({_TOK.format('text')}) AS term FROM (SELECT row_number() OVER () AS rowid, text FROM documents))
       SELECT term, count(DISTINCT i) AS df, count(*) AS cf FROM t GROUP BY 1""",
     "bm25_topk": f"WITH {_BM25} SELECT * FROM lex WHERE rank <= 257",
+    "bm25_indexed": f"WITH {_BM25} SELECT * FROM lex WHERE rank <= 257",
+    "postings": f"WITH {_BM25} SELECT entity_id, term, count(*) AS tf, n AS n_terms FROM tok GROUP BY entity_id, term, n",
     "exact_pools": f"WITH {_BM25}, {_EXACTS} SELECT *, 'exact_path' AS pool FROM xp UNION ALL SELECT *, 'exact_symbol' FROM xs UNION ALL SELECT *, 'exact_identifier' FROM xi",
     "exact_names": f"""WITH {_ASKED}, t AS (SELECT query_id, unnest({_EXACT.format('query')}) AS term FROM asked)
       SELECT DISTINCT query_id, entity_id FROM t JOIN (SELECT path AS name, file_id AS entity_id FROM files UNION ALL SELECT name, symbol_id FROM symbols) n ON n.name = t.term""",
@@ -275,7 +299,8 @@ SQL = {
       p AS (SELECT a.id AS query_id, b.id AS entity_id, round(list_cosine_similarity(a.v, b.v), 9) AS c FROM e a CROSS JOIN e b WHERE a.vec_id % 50 = 0),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, entity_id) AS rank FROM p) SELECT query_id, entity_id, rank, round(c, 6) AS cosine FROM r WHERE rank <= 10""",
     "assertions": f"SELECT doc_id, {_STATES} AS states, {_DENIES} AS denies FROM (SELECT doc_id, {_WORDS.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS w FROM documents)",
-    "contradictory_pairs": f"""WITH i AS (SELECT suite, row_number() OVER (PARTITION BY suite ORDER BY item_id) AS position, {_WORDS.format('text')} AS w FROM eval_items),
+    "contradictory_pairs": f"""WITH a AS (SELECT suite, item_id, text FROM eval_items UNION ALL SELECT 'statements', * FROM (VALUES {_STATEMENTS})),
+      i AS (SELECT suite, row_number() OVER (PARTITION BY suite ORDER BY item_id) AS position, {_WORDS.format("coalesce(text, '')")} AS w FROM a),
       p AS (SELECT suite, position, {_STATES} AS yes, {_DENIES} AS no, list_distinct(list_filter(w, lambda x: x NOT IN ({', '.join(repr(x) for x in text_fn.NO_CONTEXT)}))) AS c FROM i)
       SELECT a.suite AS query_id, a.position AS a, b.position AS b FROM p a JOIN p b ON a.suite = b.suite AND a.position < b.position
       WHERE ((a.yes AND b.no) OR (a.no AND b.yes)) AND len(a.c) > 0 AND len(b.c) > 0 AND len(list_intersect(a.c, b.c)) * 4 >= greatest(len(a.c), len(b.c)) * 3""",
