@@ -29,7 +29,11 @@ def ownership_check(spark, d):
 
 
 def fk_orphans(spark, d):
-    return validation.foreign_keys(*_all(spark, d, "generations", "files", "symbols", "chunks", "edges"))
+    """References of sealed and abandoned generations against the sealed ones, and against files whose size is known."""
+    generations, files, symbols, chunks, edges = _all(spark, d, "generations", "files", "symbols", "chunks", "edges")
+    sealed = generations.filter("status = 'sealed'")
+    known = files.filter("n_bytes IS NOT NULL")
+    return validation.orphans(files, ["generation_id"], sealed, "files.generation").unionByName(validation.foreign_keys(generations, known, symbols, chunks, edges))
 
 
 def entity_consistency(spark, d):
@@ -139,10 +143,12 @@ QUERIES = {
 
 from spindrift.plans.changes import _ORDER  # noqa: E402
 
-_FK = """SELECT 'files.generation' AS check_name, generation_id AS key FROM (SELECT DISTINCT generation_id FROM files WHERE generation_id IS NOT NULL EXCEPT SELECT generation_id FROM generations)
-  UNION ALL SELECT 'symbols.file', generation_id || '/' || file_id FROM (SELECT DISTINCT generation_id, file_id FROM symbols EXCEPT SELECT generation_id, file_id FROM files)
-  UNION ALL SELECT 'chunks.file', generation_id || '/' || file_id FROM (SELECT DISTINCT generation_id, file_id FROM chunks EXCEPT SELECT generation_id, file_id FROM files)
-  UNION ALL SELECT 'edges.source', generation_id || '/' || source_id FROM (SELECT DISTINCT generation_id, source_id FROM edges EXCEPT SELECT generation_id, file_id FROM files)"""
+_FK = """WITH k AS (SELECT DISTINCT generation_id, file_id FROM files WHERE n_bytes IS NOT NULL)
+  SELECT 'files.generation' AS check_name, generation_id AS key FROM (SELECT DISTINCT generation_id FROM files WHERE generation_id IS NOT NULL EXCEPT SELECT generation_id FROM generations WHERE status = 'sealed')
+  UNION ALL SELECT 'files.generation', generation_id FROM (SELECT DISTINCT generation_id FROM files WHERE generation_id IS NOT NULL AND n_bytes IS NOT NULL EXCEPT SELECT generation_id FROM generations)
+  UNION ALL SELECT 'symbols.file', generation_id || '/' || file_id FROM (SELECT DISTINCT generation_id, file_id FROM symbols EXCEPT SELECT * FROM k)
+  UNION ALL SELECT 'chunks.file', generation_id || '/' || file_id FROM (SELECT DISTINCT generation_id, file_id FROM chunks EXCEPT SELECT * FROM k)
+  UNION ALL SELECT 'edges.source', generation_id || '/' || source_id FROM (SELECT DISTINCT generation_id, source_id FROM edges EXCEPT SELECT * FROM k)"""
 
 SQL = {
     "table_counts": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in TABLES),

@@ -64,7 +64,7 @@ def accepted(path: Column, include: list[str], exclude: list[str], state_folder:
 def skip_reason(content: Column, length: Column) -> Column:
     """Why a file is not read: too_large, binary, invalid_utf8; null if it is."""
     return (
-        F.when(length > MOST_BYTES, "too_large").when(F.position(F.lit("00"), F.regexp_replace(F.hex(content), "(..)", "$1 ")) > 0, "binary")
+        F.when(length > MOST_BYTES, "too_large").when(F.contains(content, F.lit(b"\0")), "binary")
         .when(~F.is_valid_utf8(content.cast("string")), "invalid_utf8")
     )
 
@@ -87,12 +87,16 @@ def scan(spark: SparkSession, root: str, repository: str, revision: str, include
 
     Result: repository_id, revision, path, n_bytes, skip_reason, content,
     content_digest. Files of which the name is hidden are scanned too; ``ignore``
-    holds the patterns of ignore files. Contents too large are not loaded.
+    holds the patterns of ignore files. Contents too large are neither read nor
+    hashed.
     """
     root = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace(F.expr("url_decode(replace(path, '+', '%2B'))"), "^(file:)?" + re.escape(root) + "/", "")
-    read = files.select(path.alias("path"), F.col("length").alias("n_bytes"), "content")
+    # The bound reaches the reader, which opens no longer file.
+    fits = files.filter(F.col("length") <= MOST_BYTES).select(path.alias("path"), F.col("length").alias("n_bytes"), "content")
+    large = files.filter(F.col("length") > MOST_BYTES).select(path.alias("path"), F.col("length").alias("n_bytes"), F.lit(None).cast("binary").alias("content"))
+    read = fits.unionByName(large)
     hollow = spark.createDataFrame([(p[p.index(root) + len(root) + 1 :] if root in p else p, 0, b"") for p in empty_files(spark, root)], read.schema)
     kept = read.unionByName(hollow).filter(accepted(F.col("path"), list(include), list(exclude)) & ~matches_any(F.col("path"), list(ignore)))
     reason = skip_reason(F.col("content"), F.col("n_bytes"))

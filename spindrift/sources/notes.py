@@ -19,7 +19,7 @@ from spindrift.operators.claims import REVIEWS, STATUSES
 
 NAME = "spindrift"
 #: Bounds of a folder of notes; reviews that notes may state besides.
-MOST_NOTES, MOST_BYTES = 10_000, 4 << 20
+MOST_BYTES = 4 << 20
 NOTE_REVIEWS = (*REVIEWS, "agent_generated", "human_reviewed")
 
 CLAIMS = (
@@ -207,11 +207,15 @@ def _regions(note: Note, body: int, name: str) -> None:
 
 
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
-    """(note_path, text) of the Markdown files in a folder, in the order of paths."""
+    """(note_path, text) of the Markdown files in a folder, in the order of paths; those above 4 MiB are skipped."""
     notes = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(F.input_file_name().alias("note_path"), F.col("value").alias("text"))
-    size = F.octet_length("text")
-    fits = F.when(size > MOST_BYTES, F.raise_error(F.lit("a note is larger than 4 MiB")).cast("string")).otherwise(F.col("text"))
-    return notes.select("note_path", fits.alias("text")).orderBy("note_path").limit(MOST_NOTES)
+    return notes.filter(F.octet_length("text") <= MOST_BYTES).orderBy("note_path")
+
+
+def skipped_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """(note_path, reason) of the notes that :func:`read_notes` passes over, told by their length."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder).filter(F.col("length") > MOST_BYTES)
+    return files.select(F.col("path").alias("note_path"), F.lit("too_large").alias("reason"))
 
 
 def claims_of(notes: DataFrame, name: str = NAME) -> DataFrame:

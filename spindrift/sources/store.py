@@ -39,14 +39,17 @@ def locked(path: Path) -> Iterator[None]:
         yield
 
 
-def replaced(path: Path, text: str) -> None:
-    """The file with a new content, all or nothing."""
+def replaced(path: Path | str, content: str | bytes) -> None:
+    """The file with a new content, all or nothing; it keeps its mode."""
+    path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
-    with os.fdopen(handle, "w", encoding="utf-8") as f:
-        f.write(text)
+    with os.fdopen(handle, "wb") as f:
+        f.write(content.encode() if isinstance(content, str) else content)
         f.flush()
         os.fsync(f.fileno())
+    if path.exists():
+        os.chmod(name, path.stat().st_mode)
     os.replace(name, path)
 
 
@@ -147,13 +150,67 @@ class WorkspaceStore:
         self._change(name, lambda m: m - {repository})
 
 
+class SharedFolder:
+    """Small files in a folder of any file system that Spark can write to."""
+
+    def __init__(self, root: str | Path):
+        self.root = str(root).rstrip("/")
+
+    def _context(self):
+        spark = SparkSession.getActiveSession()
+        if spark is None:
+            raise StoreError("needs a session")
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        return jvm, path.getFileSystem(conf), jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.getFileSystem(conf).getUri(), conf)
+
+    def path(self, *names: str) -> str:
+        return "/".join((self.root, *names))
+
+    def exists(self, *names: str) -> bool:
+        jvm, files, _ = self._context()
+        return files.exists(jvm.org.apache.hadoop.fs.Path(self.path(*names)))
+
+    def renamed(self, old: str, new: str, overwrite: bool = False) -> None:
+        """Rename in one step; fails where the new name exists, unless it is overwritten."""
+        jvm, _, context = self._context()
+        option = jvm.org.apache.hadoop.fs.Options.Rename
+        options = jvm.java.lang.reflect.Array.newInstance(option.OVERWRITE.getClass(), 1)
+        options[0] = option.OVERWRITE if overwrite else option.NONE
+        at = jvm.org.apache.hadoop.fs.Path
+        context.rename(at(self.path(old)), at(self.path(new)), options)
+
+    def replaced(self, name: str, text: str) -> None:
+        """Write a small file so that readers see the old or the new text."""
+        jvm, files, _ = self._context()
+        fresh = f"{name}.{new_ulid()}"
+        out = files.create(jvm.org.apache.hadoop.fs.Path(self.path(fresh)), True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        self.renamed(fresh, name, overwrite=True)
+
+    def text(self, *names: str) -> str:
+        jvm, files, _ = self._context()
+        at = files.open(jvm.org.apache.hadoop.fs.Path(self.path(*names)))
+        try:
+            return bytes(at.readAllBytes()).decode()
+        finally:
+            at.close()
+
+
 class Generations:
-    """Generations of tables below a folder, and the pointer to the current one."""
+    """Generations of tables below a folder that all executors share, and the pointer to the current one.
+
+    A generation becomes visible by one rename, the pointer changes by another;
+    of two that are activated at once the later stays.
+    """
 
     POINTER = "CURRENT"
 
     def __init__(self, root: str | Path):
-        self.root = Path(root)
+        self.folder = SharedFolder(root)
 
     def write(self, tables: dict[str, DataFrame], violations: DataFrame | None = None, generation_id: str | None = None) -> str:
         """Write, check, seal and activate a generation; gives its id.
@@ -162,33 +219,31 @@ class Generations:
         as ``<id>.building`` and is never used.
         """
         generation_id = generation_id or f"gen_{new_ulid()}"
-        building = self.root / f"{generation_id}.building"
-        if building.exists() or (self.root / generation_id).exists():
+        building = f"{generation_id}.building"
+        if self.folder.exists(building) or self.folder.exists(generation_id):
             raise StoreError(f"generation {generation_id} exists")
         for name, df in tables.items():
-            df.write.parquet(str(building / f"{name}.parquet"))
+            df.write.parquet(self.folder.path(building, f"{name}.parquet"))
         if violations is not None and (bad := violations.limit(5).collect()):
             raise StoreError(f"generation is not sound: {bad}")
-        replaced(building / "SEALED", json.dumps({"generation_id": generation_id, "tables": sorted(tables)}))
-        os.rename(building, self.root / generation_id)
+        self.folder.replaced(f"{building}/SEALED", json.dumps({"generation_id": generation_id, "tables": sorted(tables)}))
+        self.folder.renamed(building, generation_id)
         self.activate(generation_id)
         return generation_id
 
     def activate(self, generation_id: str) -> None:
-        if not (self.root / generation_id / "SEALED").exists():
+        if not self.folder.exists(generation_id, "SEALED"):
             raise StoreError(f"{generation_id} is not sealed")
-        with locked(self.root / self.POINTER):
-            replaced(self.root / self.POINTER, generation_id + "\n")
+        self.folder.replaced(self.POINTER, generation_id + "\n")
 
     def current(self) -> str | None:
-        p = self.root / self.POINTER
-        return p.read_text().strip() if p.exists() else None
+        return self.folder.text(self.POINTER).strip() if self.folder.exists(self.POINTER) else None
 
     def read(self, spark: SparkSession, name: str, generation_id: str | None = None) -> DataFrame:
         generation_id = generation_id or self.current()
-        if not generation_id or not (self.root / generation_id / "SEALED").exists():
+        if not generation_id or not self.folder.exists(generation_id, "SEALED"):
             raise StoreError("no sealed generation")
-        return spark.read.parquet(str(self.root / generation_id / f"{name}.parquet"))
+        return spark.read.parquet(self.folder.path(generation_id, f"{name}.parquet"))
 
 
 TRACE = "seq long, generation_id string, active_scorers array<string>, selected array<string>, omitted array<struct<entity_id:string,reason:string>>, diagnostics array<string>"

@@ -16,7 +16,7 @@ spindrift_id: note_authentication
 title: Authentication
 custom_field: keep-me
 spindrift_claims:
-  session-validation:
+  ledger-order:
     status: current
     review: agent_generated
     anchors:
@@ -27,7 +27,7 @@ spindrift_claims:
     sources:
       demo:
         revision: 2f0c38a
-  token-refresh:
+  queue-drain:
     status: current
     review: agent_generated
     anchors:
@@ -41,13 +41,13 @@ spindrift_claims:
 
 ## Contéxt, owned by the author
 
-<!-- spindrift:managed claim=session-validation -->
+<!-- spindrift:managed claim=ledger-order -->
 `validate_session` checks expiry.
 <!-- /spindrift:managed -->
 
 More prose.
 
-<!-- spindrift:managed claim=token-refresh -->
+<!-- spindrift:managed claim=queue-drain -->
 Rotates the token.
 <!-- /spindrift:managed -->
 """
@@ -55,18 +55,18 @@ Rotates the token.
 
 def test_note_round_trip_and_patch():
     n = notes.parse_note(NOTE)
-    assert (n.id, n.title, n.schema, sorted(n.claims)) == ("note_authentication", "Authentication", 1, ["session-validation", "token-refresh"])
-    assert n.body("session-validation") == "`validate_session` checks expiry.\n" and n.claims["token-refresh"].anchors[0]["confidence"] == 0.9
-    c = n.claims["session-validation"]
-    assert c.sources == {"demo": "2f0c38a"} and n.with_patch("session-validation", n.body("session-validation"), "current", "agent_generated") == NOTE.encode()
-    out = n.with_patch("session-validation", "Neu: ü\n", "stale").decode()
+    assert (n.id, n.title, n.schema, sorted(n.claims)) == ("note_authentication", "Authentication", 1, ["ledger-order", "queue-drain"])
+    assert n.body("ledger-order") == "`validate_session` checks expiry.\n" and n.claims["queue-drain"].anchors[0]["confidence"] == 0.9
+    c = n.claims["ledger-order"]
+    assert c.sources == {"demo": "2f0c38a"} and n.with_patch("ledger-order", n.body("ledger-order"), "current", "agent_generated") == NOTE.encode()
+    out = n.with_patch("ledger-order", "Neu: ü\n", "stale").decode()
     assert out == NOTE.replace("`validate_session` checks expiry.\n", "Neu: ü\n").replace("status: current", "status: stale", 1)
 
 
 @pytest.mark.parametrize("change, fault", [
     (("---\n", "--\n", 1), "missing_frontmatter"), (("\n---\n\n##", "\n##"), "unclosed_frontmatter"), (("status: current", "status: odd", 1), "unknown_status"), (("review: agent_generated", "review: odd", 1), "unknown_review"),
-    (("claim=token-refresh -->", "claim=other -->"), "unknown_claim"), (("<!-- /spindrift:managed -->\n\nMore", "More"), "malformed_marker"), (("<!-- spindrift:managed claim=token-refresh -->\nRotates the token.\n<!-- /spindrift:managed -->\n", ""), "missing_region"),
-    (("Rotates the token.\n<!-- /spindrift:managed -->\n", ""), "unclosed_region"), (("claim=token-refresh -->", "claim=session-validation -->"), "duplicate_region"), (("spindrift_schema: 1", "spindrift_schema: x"), "malformed_frontmatter")])
+    (("claim=queue-drain -->", "claim=other -->"), "unknown_claim"), (("<!-- /spindrift:managed -->\n\nMore", "More"), "malformed_marker"), (("<!-- spindrift:managed claim=queue-drain -->\nRotates the token.\n<!-- /spindrift:managed -->\n", ""), "missing_region"),
+    (("Rotates the token.\n<!-- /spindrift:managed -->\n", ""), "unclosed_region"), (("claim=queue-drain -->", "claim=ledger-order -->"), "duplicate_region"), (("spindrift_schema: 1", "spindrift_schema: x"), "malformed_frontmatter")])
 def test_note_faults(change, fault):
     with pytest.raises(notes.NoteError, match=fault):
         notes.parse_note(NOTE.replace(*change))
@@ -76,8 +76,8 @@ def test_claims_table(spark, tmp_path, rows):
     (tmp_path / "a.md").write_text(NOTE, encoding="utf-8")
     (tmp_path / "b.md").write_text("no front matter", encoding="utf-8")
     c = notes.claims_of(notes.read_notes(spark, str(tmp_path)))
-    assert [r[0] for r in rows(c.filter("error IS NULL"), "claim_id")] == ["session-validation", "token-refresh"] and c.filter("error LIKE 'missing_frontmatter%'").count() == 1
-    assert claims.claim(c, "token-refresh").count() == 1
+    assert [r[0] for r in rows(c.filter("error IS NULL"), "claim_id")] == ["ledger-order", "queue-drain"] and c.filter("error LIKE 'missing_frontmatter%'").count() == 1
+    assert claims.claim(c, "queue-drain").count() == 1
     with pytest.raises(ValueError):
         claims.claims_with_status(c, "odd")
 
@@ -136,7 +136,7 @@ def _field(n, value):
 
 def _index(range_=(0, 3, 9)):
     packed = _field(1, b"".join(map(_varint, range_)))
-    occ = [packed + _field(2, b"scip rust demo 1 answer().") + _field(3, 1), packed + _field(2, b"scip rust demo 1 answer()."), _field(1, b"\x01\x00\x04") + _field(2, b"scip rust pkg 1.0 dep/Thing#"), _field(1, b"\x02\x00\x03\x00") + _field(2, b"local 1")]
+    occ = [packed + _field(2, b"scip rust demo 1 answer().") + _field(3, 1), packed + _field(2, b"scip rust demo 1 answer()."), _field(1, b"\x01\x00\x04") + _field(2, b"scip rust crate 2.1 other/Part#"), _field(1, b"\x02\x00\x03\x00") + _field(2, b"local 1")]
     info = _field(1, b"scip rust demo 1 answer().") + _field(6, b"answer")
     doc = _field(1, b"src/lib.rs") + _field(4, b"rust") + b"".join(_field(2, o) for o in occ) + _field(3, info)
     return _field(1, b"meta") + _field(2, doc)
@@ -147,7 +147,7 @@ def test_scip(spark, rows):
     out = scip.imported(r, "repo")
     assert rows(out["symbols"], "name", "start_line", "end_line") == [("answer", 1, 1)]
     assert rows(out["edges"], "edge_kind", "source_line", "target_is_external") == [("defines", 1, False), ("references", 1, False), ("references", 2, True), ("references", 3, True)]
-    assert rows(out["unresolved"], "target") == [("scip rust pkg 1.0 dep/Thing#",)]
+    assert rows(out["unresolved"], "target") == [("scip rust crate 2.1 other/Part#",)]
     lines = spark.createDataFrame([([0, 1, 2],), ([4, 0, 6, 0],), ([4, 0, 6, 1],)], "r array<int>").select(scip.line_range(F.col("r")).alias("x")).collect()
     assert [tuple(x.x) for x in lines] == [(1, 1), (5, 6), (5, 7)]
     with pytest.raises(Exception, match="invalid source range"):
@@ -253,12 +253,12 @@ def test_engine(spark, tmp_path):
     assert e.claims(str(repo / "notes")).count() == 2
     note = str(repo / "notes/n.md")
     n = notes.parse_note(open(note, "rb").read())
-    a, b = n.claims["session-validation"].region
-    q = spark.createDataFrame([(note, "session-validation", "{}", [], [], a, b, gen, "ab12", None, 1)], QUEUE)
+    a, b = n.claims["ledger-order"].region
+    q = spark.createDataFrame([(note, "ledger-order", "{}", [], [], a, b, gen, "ab12", None, 1)], QUEUE)
     now = spark.createDataFrame([(gen, "ab12", None)], "generation_id string, worktree_base_oid string, worktree_dirty_digest string")
     with pytest.raises(ValueError, match="citation_not_allowed"):
-        e.apply_update(note, "session-validation", "`r@ab12:src/a.py#other:L1`", q, now)
-    assert e.apply_update(note, "session-validation", "See `r@ab12:src/a.py#validate_session:L1`.\n", q, now, status="current").count() == 0
+        e.apply_update(note, "ledger-order", "`r@ab12:src/a.py#other:L1`", q, now)
+    assert e.apply_update(note, "ledger-order", "See `r@ab12:src/a.py#validate_session:L1`.\n", q, now, status="current").count() == 0
     assert "See `r@ab12" in open(note, encoding="utf-8").read()
     w = engine.Workspace({"r": e}, ["r", "missing"])
     items, missing = w.search(engine.Request("validate_session"))
