@@ -85,9 +85,14 @@ def test_dense_cluster_is_answered_from_exact_vectors(spark):
     base = rng.normal(size=32)
     vectors = {f"d{i:03}": (base + rng.normal(size=32) * 0.01).astype(np.float32) for i in range(N.MOST_OPEN * 2)}
     df = spark.createDataFrame([(i, e, 32, [float(x) for x in v]) for i, (e, v) in enumerate(vectors.items())], "ordinal long, entity_id string, dimension int, embedding array<float>")
+    x = np.array(list(vectors.values()), np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    at = {e: i for i, e in enumerate(vectors)}
+    kth = np.sort(x @ x.T - 3 * np.eye(len(x)), axis=1)[:, -3]
     for block in (8192, 50):
-        got = {(r.entity_id, r.neighbour) for r in N.nearest(df, k=3, least=0.9, block=block).collect()}
-        assert got == brute(vectors, 3, 0.9)
+        got = [(at[r.entity_id], at[r.neighbour]) for r in N.nearest(df, k=3, least=0.9, block=block).collect()]
+        # Single precision may exchange neighbours whose cosines differ by a millionth.
+        assert len(set(got)) == 3 * len(vectors) and all(i != j and x[i] @ x[j] >= kth[i] - 2e-6 for i, j in got)
 
 
 @pytest.mark.parametrize("bits", [4, 8])
